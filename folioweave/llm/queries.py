@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import table
-from . import leaks, spam, splitting
+from . import leaks, scans, spam, splitting
 from ._frames import once
 
 
+def _manual(spark, sf_dir, *cols):
+    return once(table(spark, sf_dir, "manual_info"), "unique_id", *cols)
+
+
+def p1_found(spark, sf_dir):
+    d = _manual(spark, sf_dir, "page_content", ("source", F.col("metadata.source")))
+    return scans.scan_noise(d).select("unique_id", "kind", "fixed").distinct()
+
+
 def p3_found(spark, sf_dir):
     d = table(spark, sf_dir, "manual_info").select("unique_id", "page_content")
     return splitting.oversized_kinds(d, "unique_id", "page_content")
@@ -23,7 +34,7 @@ def p10_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p8_found": p8_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p8_found": p8_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict:
