@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks, scans, spam, splitting
+from . import leaks, scans, spam, splitting, truncation
 from ._frames import once
 
 
@@ -18,6 +18,11 @@ def p1_found(spark, sf_dir):
     return scans.scan_noise(d).select("unique_id", "kind", "fixed").distinct()
 
 
+def p2_found(spark, sf_dir):
+    d = _manual(spark, sf_dir, "page_content", *((c, F.col(f"metadata.{c}")) for c in ("source", "parent_id", "chunk_level")))
+    return truncation.truncated(d).where("cut").select("unique_id")
+
+
 def p3_found(spark, sf_dir):
     d = table(spark, sf_dir, "manual_info").select("unique_id", "page_content")
     return splitting.oversized_kinds(d, "unique_id", "page_content")
@@ -34,7 +39,7 @@ def p10_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p8_found": p8_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p8_found": p8_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict:
