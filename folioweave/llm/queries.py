@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks, scans, spam, splitting, truncation
+from . import language, leaks, pairs, scans, spam, splitting, truncation
 from ._frames import once
 
+ALPACA = "train_round2_residual_fix_alpaca"
+
 
 def _manual(spark, sf_dir, *cols):
     return once(table(spark, sf_dir, "manual_info"), "unique_id", *cols)
@@ -28,6 +30,24 @@ def p3_found(spark, sf_dir):
     return splitting.oversized_kinds(d, "unique_id", "page_content")
 
 
+def p6_found(spark, sf_dir):
+    rows = table(spark, sf_dir, ALPACA).select("row_id", "instruction", "input", "output", "lang")
+    return pairs.broken_pairs(rows, language.fit_model(rows, "input", "lang"))
+
+
+def p7_found(spark, sf_dir):
+    m = table(spark, sf_dir, "manual_info").select(F.col("unique_id").alias("row_key"), F.col("page_content").alias("text"), F.col("metadata.lang").alias("label"))
+    a = table(spark, sf_dir, ALPACA).select(F.col("row_id").cast("string").alias("row_key"), F.col("input").alias("text"), F.col("lang").alias("label"))
+    model = language.fit_model(m.unionByName(a), "text", "label")
+    out = None
+    for name, d in (("manual_info", m), (ALPACA, a)):
+        langs = language.document_languages(d, model, "row_key", "text")
+        labels = d.select("row_key", "label").dropDuplicates(["row_key"])
+        bad = language.wrong_labels(langs, labels, "row_key", "label").select(F.lit(name).alias("table_name"), "row_key", "lang")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
 def p8_found(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "eval_inputs").select("sample_id", "gold_answer")
@@ -39,7 +59,7 @@ def p10_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p8_found": p8_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict:
