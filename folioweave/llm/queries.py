@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leaks, pairs, scans, spam, splitting, truncation
+from . import language, leaks, overlap, pairs, scans, spam, splitting, truncation
 from ._frames import once
 
 ALPACA = "train_round2_residual_fix_alpaca"
@@ -30,6 +30,13 @@ def p3_found(spark, sf_dir):
     return splitting.oversized_kinds(d, "unique_id", "page_content")
 
 
+def p5_found(spark, sf_dir):
+    rows = table(spark, sf_dir, ALPACA).select("row_id", "file_name", "input", "output")
+    rows = overlap.with_split(rows, table(spark, sf_dir, "dataset_info"))
+    p = overlap.cross_split_overlaps(rows)
+    return p.select(F.least("eval_key", "train_key").alias("row_id_a"), F.greatest("eval_key", "train_key").alias("row_id_b")).distinct()
+
+
 def p6_found(spark, sf_dir):
     rows = table(spark, sf_dir, ALPACA).select("row_id", "instruction", "input", "output", "lang")
     return pairs.broken_pairs(rows, language.fit_model(rows, "input", "lang"))
@@ -59,7 +66,7 @@ def p10_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict:
