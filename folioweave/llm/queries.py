@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leaks, overlap, pairs, scans, spam, splitting, truncation
+from . import language, leaks, mixing, neighbours, overlap, pairs, scans, spam, splitting, truncation
 from ._frames import once
 
 ALPACA = "train_round2_residual_fix_alpaca"
@@ -30,6 +30,11 @@ def p3_found(spark, sf_dir):
     return splitting.oversized_kinds(d, "unique_id", "page_content")
 
 
+def p4_found(spark, sf_dir):
+    rows = table(spark, sf_dir, "vector_rows").select("vec_id", "embedding", "ingested_at")
+    return neighbours.similar_pairs(neighbours.most_similar(rows))
+
+
 def p5_found(spark, sf_dir):
     rows = table(spark, sf_dir, ALPACA).select("row_id", "file_name", "input", "output")
     rows = overlap.with_split(rows, table(spark, sf_dir, "dataset_info"))
@@ -61,12 +66,20 @@ def p8_found(spark, sf_dir):
     return leaks.leaked_passages(docs, items)
 
 
+def p9_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark, sf_dir):
     return spam.stuffed_pages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict:
