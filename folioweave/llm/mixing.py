@@ -104,7 +104,7 @@ def mix(
     uses = materialize(uses, "uses")
     # the total passes the budget in one bucket of finish times; only that one is summed row by row
     top = uses.agg(F.max("finish")).first()[0]
-    steps = max(64, 4 * buckets * len(state))
+    steps = min(65_536, max(64, 4 * buckets * len(state)))
     at = F.least(F.lit(steps - 1), F.floor(F.col("finish") / F.lit(top) * steps)).cast("int")
     total, cut = 0, steps
     for r in uses.groupBy(at.alias("b")).agg(F.sum("tokens").alias("s")).orderBy("b").collect():  # at most `steps` rows
