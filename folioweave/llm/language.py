@@ -91,8 +91,10 @@ class Model:
                 c = code[lo + b.owner(at)]
                 np.add.at(tri, (slot, c), 1)
                 np.add.at(uni, (mid, c), 1)
-            tri, uni = tri + 0.05, uni + 0.05
-            model = Model(np.log(tri / tri.sum(0)).astype(np.float32), np.log(uni / uni.sum(0)).astype(np.float32))
+            never = uni.sum(0) == 0
+            tri, uni = np.log((tri + 0.05) / (tri + 0.05).sum(0)), np.log((uni + 0.05) / (uni + 0.05).sum(0))
+            tri[:, never] = uni[:, never] = -30.0  # a language without samples explains nothing
+            model = Model(tri.astype(np.float32), uni.astype(np.float32))
             got = np.concatenate([model.scores(Batch(texts[lo:hi])) for lo, hi in groups_by_size(texts)])
             best = got.argmax(1)
             margin = got.max(1) - np.take_along_axis(got, given[:, None], 1)[:, 0]
