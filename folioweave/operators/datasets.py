@@ -181,7 +181,7 @@ def training_lists(rows: DataFrame, size: int, seed: int = 0, query: str = "quer
 
 def triplets(rows: DataFrame, negatives: int, seed: int = 0, query: str = "query") -> DataFrame:
     """(query, pos, negs): each positive with n negatives in hash order, the list repeated where it is short."""
-    neg = F.array_sort(F.transform("neg", lambda x: F.struct(F.md5(F.concat(x, F.lit(str(seed)))).alias("h"), x.alias("x"))))
+    neg = F.array_sort(F.transform("neg", lambda x: F.named_struct(F.lit("h"), F.md5(F.concat(x, F.lit(str(seed)))), F.lit("x"), x)))
     d = rows.select(query, F.explode("pos").alias("pos"), F.transform(neg, lambda s: s["x"]).alias("n")).where(F.size("n") > 0)
     times = F.ceil(F.lit(negatives) / F.size("n")).cast("int")
     return d.select(query, "pos", F.slice(F.flatten(F.array_repeat("n", times)), 1, negatives).alias("negs"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
@@ -51,13 +55,15 @@ def exact_match(a, b, normal=tx.comparable) -> Column:
     return (normal(a) == normal(b)).cast("int")
 
 
+@F.pandas_udf(T.IntegerType())
+def shared_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the multiset intersection of two token arrays."""
+    return a.combine(b, lambda x, y: 0 if x is None or y is None else (Counter(x) & Counter(y)).total()).astype("int32")
+
+
 def token_f1(gold, said) -> Column:
     """F1 of token multisets; 1 where both are empty, 0 where one is. Both are arrays of tokens."""
-    shared = F.aggregate(
-        F.array_distinct(F.array_intersect(gold, said)),
-        F.lit(0),
-        lambda s, t: s + F.least(F.size(F.filter(gold, lambda x: x == t)), F.size(F.filter(said, lambda x: x == t))),
-    )
+    shared = shared_tokens(gold, said)
     n = F.size(gold) + F.size(said)
     return F.when(n == 0, 1.0).otherwise(2.0 * shared / n)
 
@@ -85,13 +91,13 @@ def _lcs(a, b) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of two token arrays."""
     return a.combine(b, lambda x, y: 0 if x is None or y is None else _lcs(list(x), list(y))).astype("int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def longest_shared_run(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest run of equal neighbouring tokens of two arrays."""
 
@@ -109,36 +115,36 @@ def longest_shared_run(a: pd.Series, b: pd.Series) -> pd.Series:
     return a.combine(b, lambda x, y: 0 if x is None or y is None else run(list(x), list(y))).astype("int32")
 
 
-def rouge_l(gold, said) -> Column:
-    """ROUGE-L F1 of two token arrays; 1 where both are empty."""
-    n = F.size(gold) + F.size(said)
-    return F.when(n == 0, 1.0).otherwise(2.0 * lcs_length(gold, said) / n)
+def _prf(hit: int, n: int) -> float:
+    return 2.0 * hit / n if n else 1.0
 
 
-def ngram_f1(gold, said, n: int) -> Column:
-    """ROUGE-n F1 of two token arrays."""
-    def grams(t):
-        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _bleu(gold: list, said: list, most: int = 4) -> float:
+    if not said:
+        return 0.0
+    logs, zeros = 0.0, 0
+    for n in range(1, most + 1):
+        g, s = (Counter(zip(*(t[i:] for i in range(n)))) for t in (gold, said))
+        hit, total = (g & s).total(), max(s.total(), 1)
+        if not hit:
+            zeros += 1
+        logs += math.log(hit / total if hit else 1 / (2**zeros * total))
+    short = 1.0 if len(said) >= len(gold) else math.exp(1 - len(gold) / len(said))
+    return short * math.exp(logs / most)
 
-    return token_f1(grams(gold), grams(said))
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("rouge_1", "rouge_2", "rouge_l", "bleu")]))
+def text_scores(gold: pd.Series, said: pd.Series) -> pd.DataFrame:
+    """ROUGE-1, -2 and -L F1 and sentence BLEU-4 of two token arrays (null as empty).
 
-def bleu(gold, said, most: int = 4) -> Column:
-    """Sentence BLEU of two token arrays: clipped n-gram precision up to `most`, zero counts smoothed by halving
-    (the k-th zero is 1/(2^k * total)), brevity penalty."""
-    logs, zeros = F.lit(0.0), F.lit(0)
-    for n in range(1, most + 1):
-        def grams(t, n=n):
-            return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-        g, s = grams(gold), grams(said)
-        hit = F.aggregate(F.array_distinct(s), F.lit(0), lambda acc, t, g=g, s=s: acc + F.least(F.size(F.filter(g, lambda x: x == t)), F.size(F.filter(s, lambda x: x == t))))
-        total = F.greatest(F.size(s), F.lit(1))
-        zeros = zeros + F.when(hit == 0, 1).otherwise(0)
-        p = F.when(hit > 0, hit / total).otherwise(F.lit(1.0) / (F.pow(F.lit(2.0), zeros) * total))
-        logs = logs + F.log(p)
-    bp = F.when(F.size(said) >= F.size(gold), 1.0).otherwise(F.exp(1.0 - F.size(gold) / F.greatest(F.size(said), F.lit(1))))
-    return F.when(F.size(said) == 0, 0.0).otherwise(bp * F.exp(logs / most))
+    Two empty sides score 1 in ROUGE; BLEU of an empty answer is 0. BLEU halves the k-th zero precision.
+    """
+    rows = []
+    for g, s in zip(gold, said):
+        g, s = list(g) if g is not None else [], list(s) if s is not None else []
+        r = [_prf((Counter(zip(*(g[i:] for i in range(n)))) & Counter(zip(*(s[i:] for i in range(n))))).total(), max(len(g) - n + 1, 0) + max(len(s) - n + 1, 0)) for n in (1, 2)]
+        rows.append((*r, _prf(_lcs(g, s), len(g) + len(s)), _bleu(g, s)))
+    return pd.DataFrame(rows, columns=["rouge_1", "rouge_2", "rouge_l", "bleu"], dtype="float64")
 
 
 def answer_status(gold_none, said_none) -> Column:

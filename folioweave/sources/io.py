@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 #: Reader by file extension; a fixed value.
 FORMATS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet", "txt": "text", "orc": "orc"}
 
-DOCUMENT = T.StructType().add("page_content", "string").add(
-    "metadata", "struct<unique_id:string,parent_id:string,child_id:string,chunk_level:string,source:string,page_no:int,orig_page_no:int,lang:string,content_hash:string>"
-)
+_PAGES = ("page_no", "orig_page_no")
+_META = ("unique_id", "parent_id", "child_id", "chunk_level", "source", *_PAGES, "lang", "content_hash")
+METADATA = T.StructType([T.StructField(c, T.IntegerType() if c in _PAGES else T.StringType()) for c in _META])
+DOCUMENT = T.StructType([T.StructField("page_content", T.StringType()), T.StructField("metadata", METADATA)])
 ALPACA = T.StructType([T.StructField(c, T.StringType()) for c in ("instruction", "input", "output", "system")])
 
 
