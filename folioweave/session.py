@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -43,6 +44,18 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores: a scan with fewer partitions than these (one small file, say) is dealt out anew.
+
+    Larger inputs, and plans that shuffle anyway, stay as they are.
+    """
+    qe = df._jdf.queryExecution()
+    if re.search("Join|Aggregate|Window|Sort|Exchange|Repartition|Limit", qe.sparkPlan().toString()):
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if qe.toRdd().getNumPartitions() >= want else df.repartition(want)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
