@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import language, leaks, mixing, neighbours, overlap, pairs, scans, spam, splitting, truncation
 from ._frames import once
 
@@ -26,7 +26,7 @@ def p2_found(spark, sf_dir):
 
 
 def p3_found(spark, sf_dir):
-    d = table(spark, sf_dir, "manual_info").select("unique_id", "page_content")
+    d = spread(table(spark, sf_dir, "manual_info").select("unique_id", "page_content"))
     return splitting.oversized_kinds(d, "unique_id", "page_content")
 
 
@@ -36,14 +36,14 @@ def p4_found(spark, sf_dir):
 
 
 def p5_found(spark, sf_dir):
-    rows = table(spark, sf_dir, ALPACA).select("row_id", "file_name", "input", "output")
+    rows = spread(table(spark, sf_dir, ALPACA).select("row_id", "file_name", "input", "output"))
     rows = overlap.with_split(rows, table(spark, sf_dir, "dataset_info"))
     p = overlap.cross_split_overlaps(rows)
     return p.select(F.least("eval_key", "train_key").alias("row_id_a"), F.greatest("eval_key", "train_key").alias("row_id_b")).distinct()
 
 
 def p6_found(spark, sf_dir):
-    rows = table(spark, sf_dir, ALPACA).select("row_id", "instruction", "input", "output", "lang")
+    rows = spread(table(spark, sf_dir, ALPACA).select("row_id", "instruction", "input", "output", "lang"))
     return pairs.broken_pairs(rows, language.fit_model(rows, "input", "lang"))
 
 
@@ -53,7 +53,7 @@ def p7_found(spark, sf_dir):
     model = language.fit_model(m.unionByName(a), "text", "label")
     out = None
     for name, d in (("manual_info", m), (ALPACA, a)):
-        langs = language.document_languages(d, model, "row_key", "text")
+        langs = language.document_languages(spread(d), model, "row_key", "text")
         labels = d.select("row_key", "label").dropDuplicates(["row_key"])
         bad = language.wrong_labels(langs, labels, "row_key", "label").select(F.lit(name).alias("table_name"), "row_key", "lang")
         out = bad if out is None else out.unionByName(bad)
@@ -61,21 +61,21 @@ def p7_found(spark, sf_dir):
 
 
 def p8_found(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     items = table(spark, sf_dir, "eval_inputs").select("sample_id", "gold_answer")
     return leaks.leaked_passages(docs, items)
 
 
 def p9_mix(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p9_shares(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets"))[1]
 
 
 def p10_found(spark, sf_dir):
-    return spam.stuffed_pages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spam.stuffed_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict:
