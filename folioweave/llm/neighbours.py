@@ -268,9 +268,9 @@ def most_similar(
         cat = lambda v: np.concatenate(v) if v else np.zeros(0)
         return pa.table({"key": pa.array(cat(a), pa.string()), "other": pa.array(cat(b), pa.string()), "sim": pa.array(cat(s), pa.float64())})
 
-    links = routed.groupBy("shard").applyInArrow(answer, "key string, other string, sim double").distinct()
-    links = links.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.round("sim", 9).alias("sim"), "other")), asc=False), 1, k).alias("l"))
-    links = links.select("key", F.explode("l").alias("l")).select("key", "l.sim", F.col("l.other").alias("other"))
+    links = routed.groupBy("shard").applyInArrow(answer, "key string, other string, sim double")
+    # a direction may come from several shards; nothing is cut before keys decide between equal cosines
+    links = links.groupBy("key", "other").agg(F.max(F.round("sim", 9)).alias("sim"))
     theirs = links.join(ids.select(F.col("key").alias("other"), "ids"), "other").select("key", "sim", F.explode("ids").alias("id"))
     own = ids.select("key", F.lit(1.0).alias("sim"), F.explode("ids").alias("id"))
     best = theirs.unionByName(own).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "id"))), 1, k + 1).alias("l"))
