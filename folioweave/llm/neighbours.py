@@ -192,6 +192,39 @@ def _first_ids(k: int):
     return run
 
 
+def _homes(sent):
+    def run(batches):
+        c = sent.value
+        for b in batches:
+            if b.num_rows:
+                x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array((x @ c.T).argmax(1).astype(np.int32)), b.column("vec")], names=["shard", "vec"])
+
+    return run
+
+
+def _split_hot(reps: DataFrame, cent: np.ndarray, size: int, most: int, sample: int, rounds: int = 3) -> np.ndarray:
+    """Centroids with those replaced by finer ones that more than twice `size` vectors are nearest to.
+
+    Directions are distinct, so a dense region can always be divided; only counts by shard and a bounded sample
+    of the hot shards come to the driver.
+    """
+    for _ in range(rounds):
+        sent = reps.sparkSession.sparkContext.broadcast(cent)
+        at = reps.select("vec").mapInArrow(_homes(sent), "shard int, vec array<float>")
+        hot = {r["shard"]: r["count"] for r in at.groupBy("shard").count().collect() if r["count"] > 2 * size}
+        if not hot or len(cent) + sum(n // size for n in hot.values()) > 2 * most:
+            break
+        share = min(1.0, sample / sum(hot.values()))
+        picked = at.where(F.col("shard").isin(list(hot)) & (F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).limit(sample + sample // 4).toPandas()
+        finer = [fit_centroids(np.stack(g.vec.to_list()).astype(np.float32), -(-hot[k] // size)) for k, g in picked.groupby("shard")]
+        if not finer:
+            break
+        gone = picked["shard"].unique()
+        cent = np.concatenate([np.delete(cent, gone, axis=0), *finer])
+    return cent
+
+
 def most_similar(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, shard_size: int = 2048, most_shards: int = 8192, probes: int = 3,
     sample: int = 40_000, degree: int = 20, beam: int = 40,
@@ -200,8 +233,8 @@ def most_similar(
 
     Equal cosines: the smaller key first. Null, empty, zero and non-finite vectors have no neighbours, nor have
     vectors of another length than the most frequent one. Keys must be integers; a repeated key counts once.
-    The centroids are fitted on at most about `sample` vectors taken by hash; every vector is indexed and asked. There are
-    at most `most_shards` shards, beyond which shards grow. Recall is measured in the tests and the README.
+    The centroids are fitted on at most about `sample` vectors taken by hash, those of overfull shards again on as
+    many of theirs; every vector is indexed and asked. Beyond about `most_shards` shards these grow instead. Recall is measured in the tests and the README.
     """
     spark = rows.sparkSession
     d = once(rows, key, vector)
@@ -222,7 +255,8 @@ def most_similar(
     share = min(1.0, sample / n)
     picked = reps.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vec").limit(sample + sample // 4).toPandas()
     cent = fit_centroids(np.stack(picked.vec.to_list()).astype(np.float32), shards) if shards > 1 else np.zeros((1, dim), np.float32)
-    sent = spark.sparkContext.broadcast(cent)
+    cent = _split_hot(reps, cent, shard_size, most_shards, sample)
+    sent = spark.sparkContext.broadcast(cent)  # at most about most_shards vectors
     probes = min(probes, len(cent))
 
     def route(batches):

@@ -141,6 +141,16 @@ def test_neighbours_recall(spark):
     assert len(true & set(zip(got.vec_id, got.neighbour))) / len(true) > 0.9
 
 
+def test_hot_shards_are_divided(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(400, 8)), np.array([3.0] + [0] * 7) + 0.05 * r.normal(size=(1200, 8))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    d = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<float>")
+    start = neighbours.fit_centroids(x[:400], 4)  # none of them knows the dense region
+    cent = neighbours._split_hot(d, start, 150, 1000, 2000)
+    assert np.bincount((x @ cent.T).argmax(1)).max() <= 300 < np.bincount((x @ start.T).argmax(1)).max()
+
+
 def test_within_against_table():
     def lev(a, b):
         p = list(range(len(b) + 1))
