@@ -200,3 +200,27 @@ def masked_accuracy(labels, predicted, ignore: int = -100) -> Column:
     lab = F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0)))
     pairs = F.filter(F.arrays_zip(lab.alias("l"), predicted.alias("p")), lambda x: x["l"].isNotNull() & (x["l"] != ignore))
     return F.when(F.size(pairs) > 0, F.size(F.filter(pairs, lambda x: x["l"] == x["p"])) / F.size(pairs)).otherwise(F.lit(0.0))
+
+
+def mixed_label_groups(rows: DataFrame, group: str, label: str = "label") -> DataFrame:
+    """Rows of the groups with more than one distinct label."""
+    keep = rows.groupBy(group).agg(F.min(label).alias("_a"), F.max(label).alias("_b")).where("_a < _b").select(group)
+    return rows.join(keep, group, "left_semi")
+
+
+def binned(rows: DataFrame, value: Column, low: float, high: float, n: int) -> DataFrame:
+    """(bin, n) of equal bins; the first bin that holds a value counts it, so edges belong to the lower one."""
+    step = (high - low) / n
+    k = F.when(value.between(low, high), F.greatest(F.ceil((value - low) / step) - 1, F.lit(0)))
+    return rows.where(k.isNotNull()).groupBy(k.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def recall_by_range(hits: DataFrame, ranges: DataFrame, value: str, hit: str) -> DataFrame:
+    """(low, high, n, recall) over ranges that include both ends and may overlap; a row counts in each that holds it.
+
+    ranges: (low, high), a fixed handful; checked before it is broadcast.
+    """
+    if ranges.limit(1001).count() > 1000:
+        raise ValueError("more ranges than may be broadcast")
+    j = hits.join(F.broadcast(ranges), (F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")))
+    return j.groupBy("low", "high").agg(F.count("*").alias("n"), F.round(F.avg(F.col(hit).cast("double")), 6).alias("recall"))

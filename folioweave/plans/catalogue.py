@@ -626,3 +626,66 @@ def revenue_by_nation(spark, d):
     j = t["lineitem"].join(t["orders"], F.expr("l_orderkey = o_orderkey")).join(t["customer"], F.expr("c_custkey = o_custkey"))
     j = j.join(t["supplier"], F.expr("l_suppkey = s_suppkey and c_nationkey = s_nationkey")).join(t["nation"], F.expr("s_nationkey = n_nationkey")).join(t["region"], F.expr("n_regionkey = r_regionkey"))
     return j.groupBy("n_name").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"))
+
+
+# --- more metrics and sets ------------------------------------------------------------------------------------------
+@query(_HITS + "SELECT query, count(*) AS n FROM t GROUP BY query HAVING count(DISTINCT rel) > 1")
+def mixed_label_queries(spark, d):
+    return metrics.mixed_label_groups(_ranked(spark, d), "query").groupBy("query").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(greatest(ceil(least(l_discount, 0.1) / 0.02) - 1, 0) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_discount BETWEEN 0 AND 0.1 GROUP BY ALL")
+def binned_values(spark, d):
+    return metrics.binned(table(spark, d, "lineitem"), F.col("l_discount"), 0.0, 0.1, 5)
+
+
+@query(_HITS + """, r2(low, high) AS (VALUES (0, 100), (100, 200), (200, 300), (300, 500), (500, 1000000))
+SELECT low, high, count(*) AS n, round(avg(CASE WHEN h = 1 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM m JOIN r2 ON query >= low AND query <= high GROUP BY ALL""")
+def recall_by_position(spark, d):
+    m = metrics.ranking_metrics(_ranked(spark, d), (5,)).select("query", "hit_5")
+    ranges = spark.createDataFrame([(0, 100), (100, 200), (200, 300), (300, 500), (500, 1000000)], "low int, high int")
+    return metrics.recall_by_range(m, ranges, "query", "hit_5")
+
+
+@query(f"""WITH {ROWS}, x AS (SELECT file_name, regexp_matches(coalesce(output, ''), '[^' || substr('{WS}', 2)) AS full_ FROM inst)
+SELECT file_name, CAST(count_if(full_) AS BIGINT) AS good, CAST(count_if(NOT full_) AS BIGINT) AS bad FROM x GROUP BY file_name""")
+def label_balance(spark, d):
+    full = tx.stripped(F.coalesce("output", F.lit(""))) != ""
+    return instructions(spark, d).groupBy("file_name").agg(F.count_if(full).alias("good"), F.count_if(~full).alias("bad"))
+
+
+@query(f"""WITH {ROWS} SELECT lower(trim(input)) AS low, min(row_id) AS row_id, count(*) AS n FROM inst WHERE length(trim(coalesce(input, ''))) > 0 GROUP BY lower(trim(input))""")
+def case_insensitive_questions(spark, d):
+    r = instructions(spark, d).where(F.length(F.trim(F.coalesce("input", F.lit("")))) > 0)
+    return r.groupBy(F.lower(F.trim("input")).alias("low")).agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS pairs, round(avg(CASE WHEN coalesce(length(output), 0) > coalesce(length(input), 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM " + ALPACA)
+def preference_accuracy(spark, d):
+    r = table(spark, d, ALPACA).select(F.coalesce(F.length("output"), F.lit(0)).alias("a"), F.coalesce(F.length("input"), F.lit(0)).alias("b"))
+    return metrics.preference_accuracy(r, "a", "b").select("pairs", "accuracy")
+
+
+@query(f"""WITH {STORE}, x AS (SELECT DISTINCT source, page_no, orig_page_no FROM store WHERE level = 'parent')
+SELECT source, count(*) AS pages, min(coalesce(page_no, 1000000000)) AS first_page FROM x GROUP BY source""")
+def pages_by_source(spark, d):
+    s = store(spark, d).where("level = 'parent'").select("source", "page_no", "orig_page_no").distinct()
+    return s.groupBy("source").agg(F.count("*").alias("pages"), F.min(F.coalesce("page_no", F.lit(10**9))).alias("first_page"))
+
+
+@query("""WITH f AS (SELECT unique_id AS uid, unnest(metadata.figure_refs) AS f FROM manual_info), g AS (SELECT DISTINCT uid, f.image_path AS image_path, f.page_no AS page_no FROM f)
+SELECT uid, count(*) AS figures, min(image_path) AS first_image FROM g GROUP BY uid""")
+def figures_of_documents(spark, d):
+    m = table(spark, d, "manual_info").select(F.col("unique_id").alias("uid"), F.explode("metadata.figure_refs").alias("f")).distinct()
+    return m.groupBy("uid").agg(F.count("*").alias("figures"), F.min("f.image_path").alias("first_image"))
+
+
+@query()
+def cross_page_units(spark, d):
+    """Units of neighbouring pages joined where they go on; a fixpoint, so no SQL."""
+    from ..operators import crosspage
+
+    s = store(spark, d).where("level = 'parent' and page_no is not null and text is not null")
+    w = Window.partitionBy("source", "page_no").orderBy("uid")
+    u = s.select("source", "page_no", (F.row_number().over(w) - 1).alias("unit_no"), F.when(tx.caption_kind("text").isNotNull(), "caption").otherwise("body").alias("unit_type"), "text")
+    return crosspage.merge_across_pages(u).select("source", "page_no", "unit_no", "unit_type", F.length("text").alias("n"), F.size("pages").alias("pages"))
