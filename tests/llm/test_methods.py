@@ -279,3 +279,26 @@ def test_mix_shares(spark):
     assert (p.finish.diff().dropna() >= 0).all()
     fixed, _ = mixing.mix(d, tg, budget=1000)
     assert 900 < fixed.agg(F.sum("tokens")).first()[0] <= 1000
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上个国到说们"])
+def test_overlap_scattered_edits(spark, alphabet):
+    """Edits of 5 to 10 % at random places, or one every ten characters, lose no pair; 12 % make none."""
+    r = random.Random(12)
+    rows, want = [], set()
+    for i in range(120):
+        n = r.choice([12, 25, 40, 60, 90, 150, 262, 430, 900])
+        a = "".join(r.choice(alphabet) for _ in range(n))
+        b, k = list(a), int(n * (0.05, 0.1, 0.1, 0.12)[i % 4])
+        if i % 4 == 3:
+            k += 2
+        places = range(9, n, 10) if i % 4 == 1 else sorted(r.sample(range(n), k), reverse=True)
+        for p in list(places)[:k]:
+            b[p] = ("", r.choice(alphabet), b[p] + r.choice(alphabet))[1 if i % 4 == 1 else r.randrange(3)]
+        b = "".join(b)
+        rows += [(2 * i, a, "", True), (2 * i + 1, b, "", False)]
+        if overlap.within(a, b, 0.1):
+            want.add((2 * i, 2 * i + 1))
+    d = spark.createDataFrame(rows, "row_id long, input string, output string, is_eval boolean")
+    got = {(x.eval_key, x.train_key) for x in overlap.cross_split_overlaps(d).collect()}
+    assert got == want and 80 < len(want) < 120
