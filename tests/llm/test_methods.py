@@ -302,3 +302,16 @@ def test_overlap_scattered_edits(spark, alphabet):
     d = spark.createDataFrame(rows, "row_id long, input string, output string, is_eval boolean")
     got = {(x.eval_key, x.train_key) for x in overlap.cross_split_overlaps(d).collect()}
     assert got == want and 80 < len(want) < 120
+
+
+def test_overlap_hot_template(spark):
+    """Short near copies of one template, whose common head over 1,024 cross-split pairs share, are found."""
+    r = random.Random(13)
+    head, rows = "please answer the question on the local cache: ", []
+    for i in range(40):
+        tail = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(34))
+        rows += [(2 * i, head, tail, True), (2 * i + 1, head, "0" + tail[1:17] + "1" + tail[18:], False)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[3] and not b[3] and overlap.within(fold(a[1] + a[2]), fold(b[1] + b[2]), 0.1)}
+    d = spark.createDataFrame(rows, "row_id long, input string, output string, is_eval boolean")
+    got = {(x.eval_key, x.train_key) for x in overlap.cross_split_overlaps(d).collect()}
+    assert got == want and len(want) == 40
