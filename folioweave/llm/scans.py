@@ -215,10 +215,29 @@ def canonical(w: str) -> str:
     return "".join(SINGLES.get(c, c) for c in w)
 
 
+def _drawn(w: str) -> str:
+    return "".join(SINGLES.get(c, c) for c in w)
+
+
+def _rewritten(w: str, times: int) -> list[set[str]]:
+    """The forms of a word with 0, 1, ... `times` of its pairs, at any places, written as the one character."""
+    out, last = [{w}], {(w, 0)}
+    for _ in range(times):
+        last = {(x[:i] + b + x[i + len(a) :], i + 1) for x, at in last for i in range(at, len(x)) for a, b in PAIRS if x.startswith(a, i)}
+        out.append({x for x, _ in last})
+    return out
+
+
 def delete_keys(w: str) -> list[str]:
-    """The symmetric-delete keys of a word: its canonical form and that with one character left out."""
-    c = canonical(w)
-    return list({c, *(c[:i] + c[i + 1 :] for i in range(len(c)))} - {""})
+    """The symmetric-delete keys of a word: its forms with confusable characters drawn together, and those with one
+    character left out.
+
+    Whatever confusion made one word of another, one of them can be rewritten at its place, or both are drawn
+    together there. Three confusions cost as much as is allowed; with a character left out there is room for one.
+    """
+    none, one, *more = _rewritten(w, 3)
+    bare = {canonical(w), *map(_drawn, none | one)}
+    return list({*bare, *(c[:i] + c[i + 1 :] for c in bare for i in range(len(c))), *(_drawn(x) for m in more for x in m)} - {""})
 
 
 _CONFUSABLE = {}

@@ -315,3 +315,12 @@ def test_overlap_hot_template(spark):
     d = spark.createDataFrame(rows, "row_id long, input string, output string, is_eval boolean")
     got = {(x.eval_key, x.train_key) for x in overlap.cross_split_overlaps(d).collect()}
     assert got == want and len(want) == 40
+
+
+def test_every_confusion_makes_a_candidate():
+    meets = lambda a, b: bool(set(scans.delete_keys(a)) & set(scans.delete_keys(b)))
+    for w in ("{}quality", "cl{}imate", "turn{}ing", "li{}on", "ra{}dii", "corn{}er", "b{}ririlc"):
+        for a, b in [*scans.PAIRS, *scans.SINGLES.items()]:
+            assert meets(w.format(a), w.format(b)), (w, a, b)
+    for read, word in (("folcler", "folder"), ("descnbe", "describe"), ("upclate", "update"), ("c1ick", "click"), ("qua1ity", "quality"), ("callbrate", "calibrate"), ("c|imate", "climate"), ("clirnb1ng", "climbing"), ("clescnbecl", "described")):
+        assert meets(read, word) and scans.distance(read, word) <= 1, (read, word)
