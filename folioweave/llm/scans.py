@@ -373,9 +373,11 @@ def scan_noise(docs: DataFrame, key: str = "unique_id", text: str = "page_conten
     hy = hy.withColumn("good", known_hy)
     # words that the lexicon lacks
     odd = ev.where("kind = 'word'").join(trusted.select(F.col("w").alias("form")), "form", "left_anti")
-    occ = odd.select("k", "kind", "form", "prev", "next", "at").unionByName(hy.where("good is null").select("k", "kind", "form", "prev", "next", "at"))
+    occ = odd.select("k", "src", "kind", "form", "prev", "next", "at").unionByName(hy.where("good is null").select("k", "src", "kind", "form", "prev", "next", "at"))
     occ = materialize(occ, "oddwords")
-    forms = occ.groupBy("form").agg(F.count("*").alias("seen"))
+    # a form speaks for itself by what it stands in, so that copies of a page, or pages of one source, count once
+    places, sources = F.count_distinct(F.struct("prev", "next")), F.count_distinct(F.coalesce(F.col("src").cast("string"), F.lit("")))
+    forms = occ.groupBy("form").agg(F.least(places, sources).alias("seen"))
     keys = F.pandas_udf(lambda s: s.map(delete_keys), "array<string>")
     index = trusted.where(F.length("w") > 1).select("w", "n", F.explode(keys("w")).alias("key"))
     asked = forms.select("form", "seen", F.explode(keys("form")).alias("key"))

@@ -324,3 +324,15 @@ def test_every_confusion_makes_a_candidate():
             assert meets(w.format(a), w.format(b)), (w, a, b)
     for read, word in (("folcler", "folder"), ("descnbe", "describe"), ("upclate", "update"), ("c1ick", "click"), ("qua1ity", "quality"), ("callbrate", "calibrate"), ("c|imate", "climate"), ("clirnb1ng", "climbing"), ("clescnbecl", "described")):
         assert meets(read, word) and scans.distance(read, word) <= 1, (read, word)
+
+
+def test_copies_do_not_veto_a_repair(spark):
+    """Copies of a page, and pages of one source with the same misread word, still have it repaired."""
+    r = random.Random(14)
+    plain = [(f"p{i}", " ".join(sentence(r, 20) for _ in range(3)) + " A quiet harbour lies near. All is well.", "a") for i in range(20)]
+    page = "The old page keeps every short harb0ur near a local\ncache while some reader asks for more of that long\nquery and this server answers within one second."
+    pages = [(f"c{i}", page, f"s{i}") for i in range(15)] + [(f"d{i}", page.replace("short harb0ur near", f"short wind0w {w}"), "b") for i, w in enumerate(WORDS[:15])]
+    plain = [(k, t.replace("All is", "That window is wide. All is"), s) for k, t, s in plain]
+    noise = scans.scan_noise(spark.createDataFrame(plain + pages, "unique_id string, page_content string, source string"))
+    got = {(x.unique_id, x.fixed) for x in noise.where("kind = 'misread'").collect()}
+    assert got == {(f"c{i}", "harbour") for i in range(15)} | {(f"d{i}", "window") for i in range(15)}
