@@ -38,6 +38,8 @@ SINGLES = {
 }
 #: Costs: a confusable pair or character, an accent, any other edit.
 CONFUSED, OTHER = 0.3, 1.0
+#: A word of the lexicon is doubted if one that it may be a misreading of is so many times as frequent.
+DWARFED = 200
 # ----------------------------------------------------------------------------------------------------------
 
 _ROMAN = r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
@@ -358,8 +360,7 @@ def scan_noise(docs: DataFrame, key: str = "unique_id", text: str = "page_conten
     ev = materialize(
         arrow_map(cand, _events, f"k {kd}, src {ks}, kind string, form string, part string, prev string, next string, at int"), "scanevents"
     )
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    trusted = words.where(F.col("n") >= min_count + total / 2e6)
+    trusted = words.where(F.col("n") >= min_count)
     lines = ev.where("kind in ('page_number', 'header')").select("k", "kind", F.col("form").alias("fixed"), "form", F.lit(0).alias("at"))
     # doubtful heads stay if one of their titles heads another record of the source
     known = ev.where("kind = 'header'").select("src", F.explode(F.split("part", "\n")).alias("part")).distinct()
@@ -367,23 +368,30 @@ def scan_noise(docs: DataFrame, key: str = "unique_id", text: str = "page_conten
     lines = lines.unionByName(more).distinct()
     # broken words: as the lexicon has them
     hy = ev.where("kind = 'hyphen'")
-    a, b = trusted.select(F.col("w").alias("form"), F.col("n").alias("n1")), trusted.select(F.col("w").alias("part"), F.col("n").alias("n2"))
+    a, b = words.select(F.col("w").alias("form"), F.col("n").alias("n1")), words.select(F.col("w").alias("part"), F.col("n").alias("n2"))
     hy = hy.join(a, "form", "left").join(b, "part", "left")
     known_hy = F.when(F.coalesce("n2", F.lit(0)) > F.coalesce("n1", F.lit(0)), F.col("part")).when(F.col("n1").isNotNull(), F.col("form"))
     hy = hy.withColumn("good", known_hy)
-    # words that the lexicon lacks
-    odd = ev.where("kind = 'word'").join(trusted.select(F.col("w").alias("form")), "form", "left_anti")
+    # words that the lexicon lacks, or has so seldom that they may be misread there too
+    keys = F.pandas_udf(lambda s: s.map(delete_keys), "array<string>")
+    cost = F.pandas_udf(lambda a, b: a.combine(b, distance).astype("float64"), "double")
+    index = materialize(trusted.where(F.length("w") > 1).select("w", "n", F.explode(keys("w")).alias("key")), "keys")
+    read = ev.where("kind = 'word'")
+    held = read.select("form").distinct().join(trusted.select(F.col("w").alias("form"), F.col("n").alias("n0")), "form")
+    dwarfed = held.select("form", "n0", F.explode(keys("form")).alias("key")).join(index, "key").where((F.col("form") != F.col("w")) & (F.col("n") >= DWARFED * F.col("n0")))
+    dwarfed = dwarfed.select("form", "w", "n0").distinct().where(cost("form", "w") <= 2 * CONFUSED + 0.01)
+    sure = held.select("form").join(dwarfed.select("form"), "form", "left_anti")
+    odd = read.join(sure, "form", "left_anti")
     occ = odd.select("k", "src", "kind", "form", "prev", "next", "at").unionByName(hy.where("good is null").select("k", "src", "kind", "form", "prev", "next", "at"))
     occ = materialize(occ, "oddwords")
     # a form speaks for itself by what it stands in, so that copies of a page, or pages of one source, count once
     places, sources = F.count_distinct(F.struct("prev", "next")), F.count_distinct(F.coalesce(F.col("src").cast("string"), F.lit("")))
     forms = occ.groupBy("form").agg(F.least(places, sources).alias("seen"))
-    keys = F.pandas_udf(lambda s: s.map(delete_keys), "array<string>")
-    index = trusted.where(F.length("w") > 1).select("w", "n", F.explode(keys("w")).alias("key"))
     asked = forms.select("form", "seen", F.explode(keys("form")).alias("key"))
     met = asked.join(index, "key").where("form <> w").select("form", "seen", "w", "n").distinct()
-    cost = F.pandas_udf(lambda a, b: a.combine(b, distance).astype("float64"), "double")
     met = met.where("n >= 2 * seen").withColumn("cost", cost("form", "w"))
+    # what the lexicon has itself gives way to much more frequent look-alikes only
+    met = met.join(held, "form", "left").where((F.col("cost") <= 2 * CONFUSED + 0.01) & (F.col("n") >= DWARFED * F.col("n0")) | F.col("n0").isNull()).drop("n0")
     plain = F.length("form") >= 5
     # a plain edit may repair words of five letters or more; shorter ones need confusable characters
     met = met.where(F.when(plain, F.col("cost") <= 1.0).otherwise(F.col("cost") <= 0.61))

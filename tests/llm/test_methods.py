@@ -336,3 +336,16 @@ def test_copies_do_not_veto_a_repair(spark):
     noise = scans.scan_noise(spark.createDataFrame(plain + pages, "unique_id string, page_content string, source string"))
     got = {(x.unique_id, x.fixed) for x in noise.where("kind = 'misread'").collect()}
     assert got == {(f"c{i}", "harbour") for i in range(15)} | {(f"d{i}", "window") for i in range(15)}
+
+
+def test_trust_does_not_hang_on_the_size(spark):
+    """Rare words are repaired to and left alone, rare compounds keep their hyphen, and a frequent misreading is told
+    from a word by how often its look-alike stands."""
+    r = random.Random(15)
+    plain = [(f"p{i}", " ".join(sentence(r, 20) for _ in range(3)) + " The modern way goes on.", "a") for i in range(20)]
+    plain += [(f"q{i}", "Some zirconium and a modem lie here. All is well.", "a") for i in range(2)] + [("r", "Every cold-rolled page lies here.", "a")]
+    plain += [("s", "So " + "under that " * 700 + "page.", "a")] + [(f"t{i}", "So it lies uncler that page.", "a") for i in range(3)]
+    page = "The old zirconlum keeps every short page near a cold-\nrolled cache while some reader asks a modem for more\nof that query uncler this server and answers within one\nsecond."
+    noise = scans.scan_noise(spark.createDataFrame([*plain, ("scan", page, "b")], "unique_id string, page_content string, source string"))
+    got = {(x.kind, x.form, x.fixed) for x in noise.where("unique_id = 'scan'").collect()}
+    assert got == {("misread", "zirconlum", "zirconium"), ("misread", "uncler", "under"), ("hyphen", "coldrolled", "cold-rolled")}
