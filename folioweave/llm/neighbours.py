@@ -225,16 +225,57 @@ def _split_hot(reps: DataFrame, cent: np.ndarray, size: int, most: int, sample:
     return cent
 
 
+def _nearest(asked: DataFrame, reps: DataFrame, cent: np.ndarray, k: int) -> tuple[np.ndarray, list[list[int]]]:
+    """(vectors of `asked`, for each of them the shards of its k most similar others), by comparison with all of `reps`."""
+    got = asked.toPandas()
+    q = np.stack(got.vec.to_list()).astype(np.float32)
+    sent = reps.sparkSession.sparkContext.broadcast((q, {key: i for i, key in enumerate(got.key)}, cent))
+
+    def run(batches):
+        q, at, c = sent.value
+        sim, shard = np.full((len(q), k), -np.inf, np.float32), np.full((len(q), k), -1, np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            home = (x @ c.T).argmax(1).astype(np.int32)
+            for lo in range(0, len(x), 4096):
+                v = q @ x[lo : lo + 4096].T
+                for j, key in enumerate(b.column("key")[lo : lo + 4096].to_pylist()):
+                    if key in at:
+                        v[at[key], j] = -np.inf
+                v, h = np.concatenate([sim, v], 1), np.concatenate([shard, np.broadcast_to(home[lo : lo + 4096], v.shape)], 1)
+                best = np.argpartition(-v, k - 1, axis=1)[:, :k]
+                sim, shard = np.take_along_axis(v, best, 1), np.take_along_axis(h, best, 1)
+        i, j = np.nonzero(sim > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(-sim[i, j].astype(np.float64)), pa.array(shard[i, j])], names=["q", "far", "shard"])
+
+    near = reps.select("key", "vec").mapInArrow(run, "q long, far double, shard int")
+    near = near.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "shard"))), 1, k).alias("l"))
+    shards: list[list[int]] = [[] for _ in q]
+    for r in near.collect():
+        shards[r["q"]] = [x["shard"] for x in r["l"]]
+    return q, shards
+
+
+def _enough_probes(q: np.ndarray, shards: list[list[int]], cent: np.ndarray, recall: float) -> int:
+    """The number of nearest shards that hold `recall` of the neighbours."""
+    rank = np.argsort(np.argsort(-(q @ cent.T), axis=1, kind="stable"), axis=1)
+    r = np.sort(np.concatenate([rank[i, s] for i, s in enumerate(shards) if s] or [np.zeros(1, int)]))
+    return int(r[min(len(r) - 1, int(np.ceil(recall * len(r))) - 1)]) + 1
+
+
 def most_similar(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, shard_size: int = 2048, most_shards: int = 8192, probes: int = 3,
-    sample: int = 40_000, degree: int = 20, beam: int = 40,
+    sample: int = 40_000, degree: int = 20, beam: int = 40, recall: float = 0.95, asked: int = 512,
 ) -> DataFrame:
     """(key, neighbour, rank, cosine): the k most similar other vectors of every usable vector.
 
     Equal cosines: the smaller key first. Null, empty, zero and non-finite vectors have no neighbours, nor have
     vectors of another length than the most frequent one. Keys must be integers; a repeated key counts once.
     The centroids are fitted on at most about `sample` vectors taken by hash, those of overfull shards again on as
-    many of theirs; every vector is indexed and asked. Beyond about `most_shards` shards these grow instead. Recall is measured in the tests and the README.
+    many of theirs; every vector is indexed and asked. It is asked in `probes` shards, or in as many more as hold `recall`
+    of the true neighbours of about `asked` vectors taken by hash. Beyond about `most_shards` shards these grow instead. Recall is measured in the tests and the README.
     """
     spark = rows.sparkSession
     d = once(rows, key, vector)
@@ -257,6 +298,10 @@ def most_similar(
     cent = fit_centroids(np.stack(picked.vec.to_list()).astype(np.float32), shards) if shards > 1 else np.zeros((1, dim), np.float32)
     cent = _split_hot(reps, cent, shard_size, most_shards, sample)
     sent = spark.sparkContext.broadcast(cent)  # at most about most_shards vectors
+    if len(cent) > probes:
+        few = F.pmod(F.xxhash64("key", F.lit("asked")), F.lit(1_000_000)) < int(min(1.0, asked / n) * 1_000_000) + 1
+        q, shards_of = _nearest(reps.where(few).select("key", "vec").limit(2 * asked), reps, cent, k) if reps.where(few).limit(1).count() else (cent, [])
+        probes = max(probes, _enough_probes(q, shards_of, cent, recall))
     probes = min(probes, len(cent))
 
     def route(batches):

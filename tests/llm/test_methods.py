@@ -349,3 +349,15 @@ def test_trust_does_not_hang_on_the_size(spark):
     noise = scans.scan_noise(spark.createDataFrame([*plain, ("scan", page, "b")], "unique_id string, page_content string, source string"))
     got = {(x.kind, x.form, x.fixed) for x in noise.where("unique_id = 'scan'").collect()}
     assert got == {("misread", "zirconlum", "zirconium"), ("misread", "uncler", "under"), ("hyphen", "coldrolled", "cold-rolled")}
+
+
+def test_neighbours_recall_with_many_shards(spark):
+    """Every vector's 5 most similar ones are found where 50 shards part a thin cloud."""
+    x = np.random.default_rng(3).normal(size=(4000, 16))
+    d = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.most_similar(d, shard_size=80).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = {(i, j) for i in range(len(u)) for j in np.argsort(-s[i])[:5]}
+    assert len(true & set(zip(got.vec_id, got.neighbour))) / len(true) > 0.9
