@@ -337,18 +337,17 @@ def most_similar(
             at[at == np.arange(lo, hi)[:, None]] = -1
             sim = np.einsum("bd,bcd->bc", x[lo:hi].astype(np.float64), x[at].astype(np.float64))
             sim[at < 0] = -np.inf
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            ok = np.take_along_axis(sim, top, 1) > -np.inf
-            r = np.repeat(np.arange(lo, hi), ok.sum(1))
-            c = np.take_along_axis(at, top, 1)[ok]
-            a.append(keys[r])
-            b.append(keys[c])
-            s.append(np.take_along_axis(sim, top, 1)[ok])
+            # all that equal the k-th stay, as only vec_ids decide between them
+            near = np.round(sim, 9)
+            ok = (near >= -np.sort(-near, axis=1)[:, k - 1 : k]) & (sim > -np.inf) if near.shape[1] >= k else sim > -np.inf
+            a.append(keys[np.repeat(np.arange(lo, hi), ok.sum(1))])
+            b.append(keys[at[ok]])
+            s.append(sim[ok])
         cat = lambda v: np.concatenate(v) if v else np.zeros(0)
         return pa.table({"key": pa.array(cat(a), pa.string()), "other": pa.array(cat(b), pa.string()), "sim": pa.array(cat(s), pa.float64())})
 
     links = routed.groupBy("shard").applyInArrow(answer, "key string, other string, sim double")
-    # a direction may come from several shards; nothing is cut before keys decide between equal cosines
+    # a direction may come from several shards; of what the beams held, nothing is cut before keys decide between equal cosines
     links = links.groupBy("key", "other").agg(F.max(F.round("sim", 9)).alias("sim"))
     theirs = links.join(ids.select(F.col("key").alias("other"), "ids"), "other").select("key", "sim", F.explode("ids").alias("id"))
     own = ids.select("key", F.lit(1.0).alias("sim"), F.explode("ids").alias("id"))

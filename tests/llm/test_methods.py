@@ -361,3 +361,11 @@ def test_neighbours_recall_with_many_shards(spark):
     np.fill_diagonal(s, -2)
     true = {(i, j) for i in range(len(u)) for j in np.argsort(-s[i])[:5]}
     assert len(true & set(zip(got.vec_id, got.neighbour))) / len(true) > 0.9
+
+
+def test_neighbours_of_equal_cosine(spark):
+    """Among twelve directions as near as each other the smallest keys are the neighbours."""
+    rows = [(1, [1.0] + [0.0] * 12)] + [(2 + i, [1.0] + [float(j == i) for j in range(12)]) for i in range(12)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.most_similar(d).where("vec_id = 1").orderBy("rank").collect()
+    assert [x.neighbour for x in got] == [2, 3, 4, 5, 6]
