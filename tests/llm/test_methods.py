@@ -369,3 +369,15 @@ def test_neighbours_of_equal_cosine(spark):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = neighbours.most_similar(d).where("vec_id = 1").orderBy("rank").collect()
     assert [x.neighbour for x in got] == [2, 3, 4, 5, 6]
+
+
+def test_results_beside_the_cases_are_queries(spark):
+    from folioweave.llm import queries
+
+    path, q = "/root/testdata/sf0.001", queries.queries()
+    if not __import__("os").path.isdir(path):
+        pytest.skip("no test data here")
+    keys = {"p1_repaired": ["unique_id"], "p2_rates": ["source"], "p3_pieces": ["unique_id", "piece_no"], "p5_report": ["split", "dataset"], "p7_segments": ["table_name", "row_key", "start"]}
+    for name, key in keys.items():
+        got = q[name](spark, path).select(*key).toPandas()
+        assert len(got) and not got.duplicated().any(), name
