@@ -1,10 +1,10 @@
 """Problem 4: the most similar vectors of every vector, by robust-pruned directed graphs in shards.
 
 Equal directions are one class, represented once. The classes are spread over shards by the nearest of the
-centroids fitted on a bounded sample; each is indexed in one shard and asked in its `probes` nearest ones. A
-shard builds a directed graph: greedy searches from the medoid propose neighbours, relaxed distance pruning
-keeps diverse edges, reverse edges are pruned alike; beam search answers its queries. All steps work on
-batches of nodes. Shards are of like size at any scale, so the work grows with the number of vectors.
+centroids, fitted on bounded samples and divided until no shard is overfull; each is indexed in one shard and asked in
+its `probes` nearest ones. A shard builds a directed graph: greedy searches from the medoid propose neighbours,
+relaxed distance pruning keeps diverse edges, reverse edges are pruned alike; beam search answers its queries. All
+steps work on batches of nodes. Shards are of like size at any scale, and each has a task of its own.
 """
 
 from __future__ import annotations
@@ -21,21 +21,24 @@ from ._frames import arrow_map, once
 
 
 class Graph:
-    """Directed graph over unit vectors `x` (n, d) with at most `degree` edges a node."""
+    """Directed graph over unit vectors `x` (n, d): at most `degree` edges a node after pruning.
 
-    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 32, alpha: float = 1.2, seed: int = 7, batch: int = 512):
+    Nodes are inserted in batches of random order into a random graph. Reverse edges are appended while a node has
+    room for half as many edges more; only a full node is pruned again.
+    """
+
+    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 32, alpha: float = 1.2, seed: int = 7, batch: int = 256):
         self.x = np.ascontiguousarray(x, np.float32)
-        self.n, self.degree, self.beam = len(x), degree, beam
+        self.n, self.degree, self.beam, self.room = len(x), degree, beam, degree + degree // 2
         rng = np.random.default_rng(seed)
         self.start = int((self.x @ self.x.mean(0)).argmax()) if self.n else 0
-        self.edge = np.full((self.n, degree), -1, np.int32)
+        self.edge = np.full((self.n, self.room), -1, np.int32)
         if self.n > 1:
             first = rng.integers(0, self.n, (self.n, min(degree // 2, self.n - 1)))
             self.edge[:, : first.shape[1]] = np.where(first == np.arange(self.n)[:, None], -1, first)
-        for a in (1.0, alpha):
-            order = rng.permutation(self.n)
-            for lo in range(0, self.n, batch):
-                self._insert(order[lo : lo + batch], a)
+        order = rng.permutation(self.n)
+        for lo in range(0, self.n, batch):
+            self._insert(order[lo : lo + batch], alpha)
 
     def search(self, q: np.ndarray, beam: int, width: int = 4):
         """(nodes, similarities) of the `beam` best found for each query, best first; -1 pads."""
@@ -46,6 +49,9 @@ class Graph:
         if not self.n or not b:
             return ids, sim
         ids[:, 0], sim[:, 0], done[:, 0] = self.start, q @ self.x[self.start], False
+        # when each query met each node; no node is compared twice with a query
+        met = np.full(b * self.n, -1, np.int32)
+        met[np.arange(b) * self.n + self.start] = 0
         live = np.arange(b)
         while live.size:
             s = np.where(done[live], -np.inf, sim[live])
@@ -55,20 +61,31 @@ class Graph:
             live, pick, good = live[go], pick[go], good[go]
             if not live.size:
                 break
-            nodes = np.where(good, np.take_along_axis(ids[live], pick, 1), -1)
-            d = done[live]
-            np.put_along_axis(d, pick, True, 1)
-            done[live] = d
-            nxt = np.where(nodes[:, :, None] >= 0, self.edge[nodes], -1).reshape(len(live), -1)
-            # a node may come from several expanded ones, or stand in the beam already
-            nxt = np.sort(nxt, 1)
-            nxt[:, 1:][nxt[:, 1:] == nxt[:, :-1]] = -1
-            nxt[(nxt[:, :, None] == ids[live][:, None, :]).any(2)] = -1
-            v = np.einsum("bd,bcd->bc", q[live], self.x[nxt], optimize=False)
-            v[nxt < 0] = -np.inf
-            all_id = np.concatenate([ids[live], nxt], 1)
-            all_sim = np.concatenate([sim[live], v], 1)
-            all_done = np.concatenate([done[live], nxt < 0], 1)
+            r, c = np.nonzero(good)
+            at, c = live[r], pick[r, c]
+            done[at, c] = True
+            nxt = self.edge[ids[at, c]]
+            row, nxt = np.repeat(at, self.room), nxt.ravel()
+            row, nxt = row[nxt >= 0], nxt[nxt >= 0]
+            key = row * self.n + nxt
+            new = met[key] < 0
+            row, nxt, key = row[new], nxt[new], key[new]
+            turn = np.arange(key.size, dtype=np.int32)
+            met[key] = turn
+            new = met[key] == turn  # a node may come from several expanded ones
+            row, nxt = row[new], nxt[new]
+            if not row.size:
+                continue
+            v = np.einsum("nd,nd->n", q[row], self.x[nxt])
+            first = np.searchsorted(row, live)
+            n = np.searchsorted(row, live, "right") - first
+            line, place = np.repeat(np.arange(live.size), n), np.arange(row.size) - np.repeat(first, n)
+            new_id = np.full((live.size, int(n.max())), -1, np.int32)
+            new_sim = np.full(new_id.shape, -np.inf, np.float32)
+            new_id[line, place], new_sim[line, place] = nxt, v
+            all_id = np.concatenate([ids[live], new_id], 1)
+            all_sim = np.concatenate([sim[live], new_sim], 1)
+            all_done = np.concatenate([done[live], new_id < 0], 1)
             keep = np.argpartition(-all_sim, beam - 1, axis=1)[:, :beam]
             ids[live] = np.take_along_axis(all_id, keep, 1)
             sim[live] = np.take_along_axis(all_sim, keep, 1)
@@ -88,7 +105,7 @@ class Graph:
         cand, to_p, vec = np.take_along_axis(cand, order, 1), np.take_along_axis(to_p, order, 1), np.take_along_axis(vec, order[:, :, None], 1)
         between = 2 - 2 * np.matmul(vec, vec.transpose(0, 2, 1))
         alive = cand >= 0
-        out = np.full((len(p), self.degree), -1, np.int32)
+        out = np.full((len(p), self.room), -1, np.int32)
         count = np.zeros(len(p), np.int64)
         rows = np.arange(len(p))
         for _ in range(self.degree):
@@ -106,21 +123,29 @@ class Graph:
     def _insert(self, p: np.ndarray, alpha: float) -> None:
         found, _ = self.search(self.x[p], self.beam)
         self.edge[p] = self._prune(p, np.concatenate([found, self.edge[p]], 1), alpha)
-        # reverse edges
-        src = np.repeat(p, self.degree)
-        dst = self.edge[p].ravel()
+        # reverse edges that are not there yet
+        src, dst = np.repeat(p, self.room), self.edge[p].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
+        new = (self.edge[dst] != src[:, None]).all(1)
+        src, dst = src[new], dst[new]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         at, first, n = np.unique(dst, return_index=True, return_counts=True)
-        place = np.arange(dst.size) - np.repeat(first, n)
-        width = 2 * self.degree
-        into = np.full((at.size, width), -1, np.int32)
-        fit = place < width
-        into[np.repeat(np.arange(at.size), n)[fit], place[fit]] = src[fit]
-        for lo in range(0, at.size, 1024):
-            part = at[lo : lo + 1024]
-            self.edge[part] = self._prune(part.astype(np.int32), np.concatenate([self.edge[part], into[lo : lo + 1024]], 1), alpha)
+        line, place = np.repeat(np.arange(at.size), n), np.arange(dst.size) - np.repeat(first, n)
+        old = self.edge[at]
+        old = np.take_along_axis(old, np.argsort(old < 0, axis=1, kind="stable"), 1)
+        have = (old >= 0).sum(1)
+        full = have + n > self.room
+        fit = ~full[line]
+        old[line[fit], have[line[fit]] + place[fit]] = src[fit]
+        self.edge[at[~full]] = old[~full]
+        over = np.flatnonzero(full)
+        into = np.full((at.size, 2 * self.degree), -1, np.int32)
+        fit = full[line] & (place < into.shape[1])
+        into[line[fit], place[fit]] = src[fit]
+        for lo in range(0, over.size, 1024):
+            part = over[lo : lo + 1024]
+            self.edge[at[part]] = self._prune(at[part].astype(np.int32), np.concatenate([old[part], into[part]], 1), alpha)
 
 
 def fit_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -192,44 +217,104 @@ def _first_ids(k: int):
     return run
 
 
+#: Up to so many centroids are compared with every vector; of more, those of the nearest groups are.
+FLAT = 2048
+
+
+class Routes:
+    """The nearest shards of vectors. Many centroids are grouped about coarser ones, of which `near` are looked into."""
+
+    def __init__(self, cent: np.ndarray, near: int = 16):
+        self.cent, self.near, self.coarse = cent, near, None
+        if len(cent) > FLAT:
+            self.coarse = fit_centroids(cent, int(np.sqrt(len(cent))))
+            group = np.concatenate([(cent[i : i + 4096] @ self.coarse.T).argmax(1) for i in range(0, len(cent), 4096)])
+            self.members = [np.flatnonzero(group == g) for g in range(len(self.coarse))]
+
+    def nearest(self, x: np.ndarray, k: int) -> np.ndarray:
+        """(len(x), k) shards, nearest first; -1 pads."""
+        if self.coarse is None:
+            return _best(x @ self.cent.T, k)
+        groups = _best(x @ self.coarse.T, min(self.near, len(self.coarse)))
+        sim = np.full((len(x), k), -np.inf, np.float32)
+        out = np.full((len(x), k), -1, np.int64)
+        for g in np.unique(groups):
+            rows, m = np.flatnonzero((groups == g).any(1)), self.members[g]
+            if m.size:
+                s = np.concatenate([sim[rows], x[rows] @ self.cent[m].T], 1)
+                i = np.concatenate([out[rows], np.broadcast_to(m, (rows.size, m.size))], 1)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                sim[rows], out[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
+        return out
+
+
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row, largest first."""
+    k = min(k, s.shape[1])
+    at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
+
+
+def _vectors(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
 def _homes(sent):
     def run(batches):
-        c = sent.value
         for b in batches:
             if b.num_rows:
-                x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([pa.array((x @ c.T).argmax(1).astype(np.int32)), b.column("vec")], names=["shard", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value.nearest(_vectors(b), 1)[:, 0].astype(np.int32)), b.column("vec")], names=["shard", "vec"])
 
     return run
 
 
-def _split_hot(reps: DataFrame, cent: np.ndarray, size: int, most: int, sample: int, rounds: int = 3) -> np.ndarray:
-    """Centroids with those replaced by finer ones that more than twice `size` vectors are nearest to.
+def _sizes(reps: DataFrame, cent: np.ndarray) -> tuple[DataFrame, dict]:
+    """(shard and vector of every direction, directions by shard)."""
+    at = reps.select("vec").mapInArrow(_homes(reps.sparkSession.sparkContext.broadcast(Routes(cent))), "shard int, vec array<float>")
+    return at, {r["shard"]: r["count"] for r in at.groupBy("shard").count().collect()}  # a row a shard
 
-    Directions are distinct, so a dense region can always be divided; only counts by shard and a bounded sample
-    of the hot shards come to the driver.
+
+def _divide(parts: dict):
+    """Finer centroids of one shard."""
+
+    def run(t: pa.Table) -> pa.Table:
+        k = t.column("shard")[0].as_py()
+        x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float32)
+        c = fit_centroids(np.unique(x, axis=0), parts[k])  # in an order of its own
+        return pa.table({"shard": pa.array([k] * len(c), pa.int32()), "vec": pa.array(list(c), pa.list_(pa.float32()))})
+
+    return run
+
+
+def _split_hot(reps: DataFrame, cent: np.ndarray, size: int, per_centroid: int = 64, fan: int = 32, rounds: int = 8) -> tuple[np.ndarray, dict]:
+    """(centroids, directions by shard): those that more than twice `size` vectors are nearest to give way to finer ones.
+
+    Each overfull shard is divided on an executor, on about `per_centroid` of its vectors for every new centroid, `fan`
+    at most at once. Only counts and centroids come to the driver, both in proportion to the number of shards.
     """
-    for _ in range(rounds):
-        sent = reps.sparkSession.sparkContext.broadcast(cent)
-        at = reps.select("vec").mapInArrow(_homes(sent), "shard int, vec array<float>")
-        hot = {r["shard"]: r["count"] for r in at.groupBy("shard").count().collect() if r["count"] > 2 * size}
-        if not hot or len(cent) + sum(n // size for n in hot.values()) > 2 * most:
+    dim = cent.shape[1]
+    for left in range(rounds, -1, -1):
+        at, count = _sizes(reps, cent)
+        hot = {k: min(fan, -(-n // size)) for k, n in count.items() if n > 2 * size}
+        if not hot or not left:
             break
-        share = min(1.0, sample / sum(hot.values()))
-        picked = at.where(F.col("shard").isin(list(hot)) & (F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).limit(sample + sample // 4).toPandas()
-        finer = [fit_centroids(np.stack(g.vec.to_list()).astype(np.float32), -(-hot[k] // size)) for k, g in picked.groupby("shard")]
-        if not finer:
+        share = {k: min(1.0, per_centroid * parts / count[k]) for k, parts in hot.items()}
+
+        few = reps.sparkSession.createDataFrame([(int(k), float(v)) for k, v in share.items()], "shard int, share double")
+        picked = at.join(F.broadcast(few), "shard").where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < F.col("share") * 1_000_000 + 1)
+        got = picked.select("shard", "vec").groupBy("shard").applyInArrow(_divide(hot), "shard int, vec array<float>").toPandas()
+        if len(got) <= got["shard"].nunique():
             break
-        gone = picked["shard"].unique()
-        cent = np.concatenate([np.delete(cent, gone, axis=0), *finer])
-    return cent
+        finer = np.stack(got.sort_values("shard", kind="stable").vec.to_list()).astype(np.float32).reshape(-1, dim)
+        cent = np.concatenate([np.delete(cent, got["shard"].unique(), axis=0), finer])
+    return cent, count
 
 
-def _nearest(asked: DataFrame, reps: DataFrame, cent: np.ndarray, k: int) -> tuple[np.ndarray, list[list[int]]]:
+def _nearest(asked: DataFrame, reps: DataFrame, routes: Routes, k: int) -> tuple[np.ndarray, list[list[int]]]:
     """(vectors of `asked`, for each of them the shards of its k most similar others), by comparison with all of `reps`."""
     got = asked.toPandas()
     q = np.stack(got.vec.to_list()).astype(np.float32)
-    sent = reps.sparkSession.sparkContext.broadcast((q, {key: i for i, key in enumerate(got.key)}, cent))
+    sent = reps.sparkSession.sparkContext.broadcast((q, {key: i for i, key in enumerate(got.key)}, routes))
 
     def run(batches):
         q, at, c = sent.value
@@ -237,8 +322,8 @@ def _nearest(asked: DataFrame, reps: DataFrame, cent: np.ndarray, k: int) -> tup
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            home = (x @ c.T).argmax(1).astype(np.int32)
+            x = _vectors(b)
+            home = c.nearest(x, 1)[:, 0].astype(np.int32)
             for lo in range(0, len(x), 4096):
                 v = q @ x[lo : lo + 4096].T
                 for j, key in enumerate(b.column("key")[lo : lo + 4096].to_pylist()):
@@ -258,24 +343,41 @@ def _nearest(asked: DataFrame, reps: DataFrame, cent: np.ndarray, k: int) -> tup
     return q, shards
 
 
-def _enough_probes(q: np.ndarray, shards: list[list[int]], cent: np.ndarray, recall: float) -> int:
+def _enough_probes(q: np.ndarray, shards: list[list[int]], routes: Routes, recall: float, most: int = 256) -> int:
     """The number of nearest shards that hold `recall` of the neighbours."""
-    rank = np.argsort(np.argsort(-(q @ cent.T), axis=1, kind="stable"), axis=1)
-    r = np.sort(np.concatenate([rank[i, s] for i, s in enumerate(shards) if s] or [np.zeros(1, int)]))
+    near = routes.nearest(q, most)
+    rank = [np.flatnonzero(near[i] == x) for i, s in enumerate(shards) for x in s]
+    r = np.sort([int(x[0]) if x.size else near.shape[1] - 1 for x in rank] or [0])
     return int(r[min(len(r) - 1, int(np.ceil(recall * len(r))) - 1)]) + 1
 
 
+def _lanes(spark, sizes: list[int], most: int = 4096) -> tuple[int, np.ndarray]:
+    """(number of tasks, for each shard a value that a hash partitioning by it sends to a task of its own).
+
+    Beyond `most` tasks the shards are dealt out by size, so that all tasks get about as much.
+    """
+    n = max(1, min(most, len(sizes)))
+    rows = spark.range(40 * n).select(F.col("id").cast("int").alias("v"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("v").alias("v")).collect()
+    value = [r["v"] for r in sorted(rows, key=lambda r: r["p"])]
+    lane = np.zeros(len(sizes), np.int32)
+    for i, k in enumerate(np.argsort(-np.array(sizes), kind="stable")):
+        turn, at = divmod(i, len(value))
+        lane[k] = value[at if turn % 2 == 0 else len(value) - 1 - at]
+    return n, lane
+
+
 def most_similar(
-    rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, shard_size: int = 2048, most_shards: int = 8192, probes: int = 3,
+    rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, shard_size: int = 4096, probes: int = 3,
     sample: int = 40_000, degree: int = 20, beam: int = 40, recall: float = 0.95, asked: int = 512,
 ) -> DataFrame:
     """(key, neighbour, rank, cosine): the k most similar other vectors of every usable vector.
 
     Equal cosines: the smaller key first. Null, empty, zero and non-finite vectors have no neighbours, nor have
     vectors of another length than the most frequent one. Keys must be integers; a repeated key counts once.
-    The centroids are fitted on at most about `sample` vectors taken by hash, those of overfull shards again on as
-    many of theirs; every vector is indexed and asked. It is asked in `probes` shards, or in as many more as hold `recall`
-    of the true neighbours of about `asked` vectors taken by hash. Beyond about `most_shards` shards these grow instead. Recall is measured in the tests and the README.
+    The first centroids are fitted on at most about `sample` vectors taken by hash, the finer ones of overfull shards on 64 of
+    theirs a centroid; every vector is indexed and asked. It is asked in `probes` shards, or in as many more as hold `recall`
+    of the true neighbours of about `asked` vectors taken by hash. No shard holds more than about twice `shard_size`
+    vectors at any number of them. Recall is measured in the tests and the README.
     """
     spark = rows.sparkSession
     d = once(rows, key, vector)
@@ -292,34 +394,46 @@ def most_similar(
     reps = u.groupBy("key").agg(F.min_by("vec", "id").alias("vec"))
     reps = materialize(reps, "directions")
     n = reps.count()
-    shards = int(max(1, min(most_shards, -(-n // shard_size))))
+    shards = int(max(1, min(sample // 64, -(-n // shard_size))))
     share = min(1.0, sample / n)
     picked = reps.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vec").limit(sample + sample // 4).toPandas()
     cent = fit_centroids(np.stack(picked.vec.to_list()).astype(np.float32), shards) if shards > 1 else np.zeros((1, dim), np.float32)
-    cent = _split_hot(reps, cent, shard_size, most_shards, sample)
-    sent = spark.sparkContext.broadcast(cent)  # at most about most_shards vectors
+    cent, count = _split_hot(reps, cent, shard_size)
+    routes = Routes(cent)
     if len(cent) > probes:
         few = F.pmod(F.xxhash64("key", F.lit("asked")), F.lit(1_000_000)) < int(min(1.0, asked / n) * 1_000_000) + 1
-        q, shards_of = _nearest(reps.where(few).select("key", "vec").limit(2 * asked), reps, cent, k) if reps.where(few).limit(1).count() else (cent, [])
-        probes = max(probes, _enough_probes(q, shards_of, cent, recall))
+        some = reps.where(few)
+        if some.limit(1).count():
+            q, shards_of = _nearest(some.select("key", "vec").limit(2 * asked), reps, routes, k)
+            probes = max(probes, _enough_probes(q, shards_of, routes, recall))
     probes = min(probes, len(cent))
+    # vectors too near each other for any centroid are divided by their hash; who asks there asks in all parts
+    parts = np.array([max(1, -(-count.get(i, 0) // (4 * shard_size))) for i in range(len(cent))])
+    first = np.concatenate([[0], np.cumsum(parts)])
+    tasks, lane = _lanes(spark, [count.get(i, 0) // parts[i] for i in range(len(cent)) for _ in range(parts[i])])
+    sent = spark.sparkContext.broadcast((routes, parts, first, lane))  # in proportion to the number of shards
 
     def route(batches):
-        c = sent.value
+        routes, parts, first, lane = sent.value
         for b in batches:
-            x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             if not b.num_rows:
                 continue
-            s = x @ c.T
-            near = np.argpartition(-s, probes - 1, axis=1)[:, :probes] if probes < c.shape[0] else np.tile(np.arange(c.shape[0]), (b.num_rows, 1))
-            home = s.argmax(1)
-            take = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-            t = b.take(take)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel().astype(np.int32)), t.column("key"), t.column("vec"), pa.array((near == home[:, None]).ravel())], names=["shard", "key", "vec", "own"]
-            )
-
-    routed = reps.mapInArrow(route, "shard int, key string, vec array<float>, own boolean")
+            near = routes.nearest(_vectors(b), probes)
+            own = np.zeros(near.shape, bool)
+            own[:, 0] = True
+            who, own, near = np.repeat(np.arange(b.num_rows), near.shape[1]), own.ravel(), near.ravel()
+            who, own, near = who[near >= 0], own[near >= 0], near[near >= 0]
+            n = parts[near]
+            part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            who, own, near, n = (np.repeat(v, n) for v in (who, own, near, n))
+            if (n > 1).any():
+                mine = np.array([int(x[:8], 16) for x in b.column("key").to_pylist()])[who] % n
+                own &= part == mine
+            shard = (first[near] + part).astype(np.int32)
+            t = b.take(pa.array(who))
+            yield pa.RecordBatch.from_arrays([pa.array(lane[shard]), pa.array(shard), t.column("key"), t.column("vec"), pa.array(own)], names=["lane", "shard", "key", "vec", "own"])
+
+    routed = reps.mapInArrow(route, "lane int, shard int, key string, vec array<float>, own boolean").repartition(tasks, "lane")
 
     def answer(t: pa.Table) -> pa.Table:
         x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float32)
@@ -330,8 +444,8 @@ def most_similar(
         where = np.flatnonzero(own)
         g = Graph(x[where], degree=degree, beam=max(beam, 32) if where.size > 64 else 32)
         a, b, s = [], [], []
-        for lo in range(0, len(x), 1024):
-            hi = min(lo + 1024, len(x))
+        for lo in range(0, len(x), 256):
+            hi = min(lo + 256, len(x))
             found, _ = g.search(x[lo:hi], beam)
             at = np.where(found >= 0, where[found] if where.size else -1, -1)
             at[at == np.arange(lo, hi)[:, None]] = -1
@@ -346,7 +460,7 @@ def most_similar(
         cat = lambda v: np.concatenate(v) if v else np.zeros(0)
         return pa.table({"key": pa.array(cat(a), pa.string()), "other": pa.array(cat(b), pa.string()), "sim": pa.array(cat(s), pa.float64())})
 
-    links = routed.groupBy("shard").applyInArrow(answer, "key string, other string, sim double")
+    links = routed.groupBy("lane", "shard").applyInArrow(answer, "key string, other string, sim double")
     # a direction may come from several shards; of what the beams held, nothing is cut before keys decide between equal cosines
     links = links.groupBy("key", "other").agg(F.max(F.round("sim", 9)).alias("sim"))
     theirs = links.join(ids.select(F.col("key").alias("other"), "ids"), "other").select("key", "sim", F.explode("ids").alias("id"))
