@@ -7,11 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Numbers that keys are hashed to, to tell those delivered again; so many rows are broadcast at most.
+SLOTS = 1 << 20
+
+
 def once(df: DataFrame, key: str, *cols, latest: str = "ingested_at") -> DataFrame:
     """One row a key: rows delivered again have the same content and a later `latest`.
 
     The first delivery stays. Null keys name no row and are left out. `cols` are (name, Column or None)
     pairs or names; all other columns go, so clashing extra columns do no harm.
+
+    Keys alone are counted first; only rows whose key falls on the number of one that came again are shuffled with
+    their content. As the numbers fill up with the input more rows are, and the result stays the same.
     """
     picked = [F.col(key).alias("k")]
     names = []
@@ -20,10 +27,13 @@ def once(df: DataFrame, key: str, *cols, latest: str = "ingested_at") -> DataFra
         names.append(n)
         picked.append(x.alias(f"v_{n}"))
     when = F.col(latest) if latest in df.columns else F.lit(None).cast("timestamp")
-    d = df.select(*picked, when.alias("t")).where(F.col("k").isNotNull())
+    slot = F.pmod(F.xxhash64("k"), F.lit(SLOTS)).cast("int")
+    again = df.select(F.col(key).alias("k")).where("k is not null").groupBy("k").count().where("count > 1").select(slot.alias("slot")).distinct()
+    d = df.select(*picked, when.alias("t")).where(F.col("k").isNotNull()).withColumn("slot", slot)
+    alone = d.join(F.broadcast(again), "slot", "left_anti").select(F.col("k").alias(key), *[F.col(f"v_{n}").alias(n) for n in names])
     vals = F.struct(*[F.col(f"v_{n}").alias(n) for n in names])
-    d = d.groupBy("k").agg(F.min_by(vals, F.coalesce(F.col("t"), F.lit("9999-01-01").cast("timestamp"))).alias("v"))
-    return d.select(F.col("k").alias(key), *[F.col("v")[n].alias(n) for n in names])
+    d = d.join(F.broadcast(again), "slot", "left_semi").groupBy("k").agg(F.min_by(vals, F.coalesce(F.col("t"), F.lit("9999-01-01").cast("timestamp"))).alias("v"))
+    return alone.unionByName(d.select(F.col("k").alias(key), *[F.col("v")[n].alias(n) for n in names]))
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -12,7 +12,7 @@ import base64
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,26 +20,30 @@ from ..session import materialize
 
 #: Splitting pattern of the byte-level vocabulary; a fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _encoders: dict = {}
 
 
-def _encoder(path: str):
-    if path not in _encoders:
+def _encoder(name: str, ranks: bytes):
+    if name not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _encoders[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=pieces, special_tokens={})
+    return _encoders[name]
 
 
-def token_counts(path: str = VOCABULARY):
-    """Column function: number of tokens of a text in the vocabulary file at `path`; null for a null text."""
+def token_counts(spark: SparkSession, vocabulary: str):
+    """Column function: number of tokens of a text in the vocabulary file at the path `vocabulary`; null for a null text.
+
+    The file is read where the plan is made and sent to the executors, which need no copy of it; it is of a fixed size.
+    """
+    with open(vocabulary, "rb") as f:
+        ranks = f.read()
+    sent, name = spark.sparkContext.broadcast(ranks), os.path.basename(vocabulary)
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
-        enc = _encoder(path)
+        enc = _encoder(name, sent.value)
         return s.map(lambda t: None if t is None else len(enc.encode_ordinary(t))).astype("Int64")
 
     return count
@@ -58,8 +62,8 @@ def _running(d: DataFrame, group: list[str], order: str, amount: str, buckets: i
 
 
 def mix(
-    docs: DataFrame, targets: DataFrame, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source",
-    seed: int = 11, rows_per_bucket: int = 50_000, vocabulary: str = VOCABULARY,
+    docs: DataFrame, targets: DataFrame, vocabulary: str, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source",
+    seed: int = 11, rows_per_bucket: int = 50_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, shares).
 
@@ -79,7 +83,7 @@ def mix(
     kd = docs.schema[key].dataType.simpleString()
     d = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("t")).where(F.length(F.trim("t")) > 0)
     d = d.join(w.select("source"), "source", "left_semi")
-    d = materialize(d.select("key", "source", token_counts(vocabulary)("t").alias("tokens")).where("tokens > 0"), "tokens")
+    d = materialize(d.select("key", "source", token_counts(docs.sparkSession, vocabulary)("t").alias("tokens")).where("tokens > 0"), "tokens")
     have = d.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("n"))
     state = [r.asDict() for r in have.join(w, "source").collect()]  # one row for each listed source
     goal = sum(r["target_share"] for r in state)
@@ -102,20 +106,28 @@ def mix(
     uses = uses.join(F.broadcast(whole), "source").withColumn("run", F.col("run") + (F.col("copy") - 1) * F.col("have"))
     uses = uses.withColumn("finish", F.col("run") / F.col("weight")).select("key", "source", "copy", "tokens", "finish")
     uses = materialize(uses, "uses")
-    # the total passes the budget in one bucket of finish times; only that one is summed row by row
-    top = uses.agg(F.max("finish")).first()[0]
-    steps = min(65_536, max(64, 4 * buckets * len(state)))
-    at = F.least(F.lit(steps - 1), F.floor(F.col("finish") / F.lit(top) * steps)).cast("int")
-    total, cut = 0, steps
-    for r in uses.groupBy(at.alias("b")).agg(F.sum("tokens").alias("s")).orderBy("b").collect():  # at most `steps` rows
-        if total + r.s > budget:
-            cut = r.b
+    # the total passes the budget in one bucket of finish times, which is divided until few rows are left in it
+    lo, hi = 0.0, float(uses.agg(F.max("finish")).first()[0])
+    total, steps = 0, 4096
+    while True:
+        inside = uses.where((F.col("finish") > lo) & (F.col("finish") <= hi))
+        at = F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.ceil((F.col("finish") - lo) / F.lit(hi - lo) * steps) - 1)).cast("int")
+        part = inside.groupBy(at.alias("b")).agg(F.sum("tokens").alias("s"), F.count("*").alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last"))
+        cut, before = None, lo
+        for r in part.orderBy("b").collect():  # at most `steps` rows
+            if total + r["s"] > budget:
+                cut = r
+                break
+            total, before = total + r["s"], r["last"]
+        if cut is None:
+            out = uses
+            break
+        lo, hi = before, cut["last"]
+        if cut["n"] <= rows_per_bucket or cut["first"] == cut["last"]:
+            order = Window.orderBy("finish", "source", "key", "copy").rowsBetween(Window.unboundedPreceding, 0)
+            edge = uses.where((F.col("finish") > lo) & (F.col("finish") <= hi)).withColumn("run", F.sum("tokens").over(order)).where(F.col("run") <= budget - total).drop("run")
+            out = uses.where(F.col("finish") <= lo).unionByName(edge)
             break
-        total += r.s
-    uses = uses.withColumn("b", at)
-    run = F.sum("tokens").over(Window.partitionBy("b").orderBy("finish", "source", "key", "copy"))
-    last = uses.where(F.col("b") == cut).withColumn("run", run).where(F.col("run") <= budget - total).drop("run")
-    out = uses.where(F.col("b") < cut).unionByName(last).drop("b")
     out = out.repartitionByRange("finish", "source", "key", "copy").sortWithinPartitions("finish", "source", "key", "copy").withColumnRenamed("key", key)
     return out, _shares(out, w, wanted, spark)
 

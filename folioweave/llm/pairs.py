@@ -1,25 +1,27 @@
 """Problem 6: prompt and response pairs with a defect.
 
-Language posteriors of prompt and response come from the character n-gram naive Bayes model of `language`;
-an end-of-text n-gram model, counted over all responses, tells how likely a response ends where it does.
-Forms of empty answers, refusals and copies are told by rules on whole sentences.
+Language posteriors of prompt and response come from the character n-gram naive Bayes model of `language`. Truncation
+is told by the likelihood that a text ends where it does: of every occurrence of its last 1, 2, 4 and 6 characters in all
+responses, the share that ends one, each order drawn to the shorter one's share. Contexts are counted by hash, only those
+that some response ends with, so what is shuffled is small; nothing of it is collected. Forms of empty answers, refusals
+and copies are told by rules on whole sentences.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
-import zlib
-from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ._frames import arrow_map
-from ._text import fold, groups_by_size
+from ._text import codes, fold, groups_by_size
 from .language import NAMES, Labelled, Model
-from .scans import closed
 from .truncation import ITEM, MARKER
 
 # --- fixed values -----------------------------------------------------------------------------------------
@@ -50,9 +52,22 @@ ASKED = re.compile(
 # ----------------------------------------------------------------------------------------------------------
 _SENT = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _SEP = re.compile(r"\s*[,、;；，\n]\s*")
-END_BITS = 16
-#: A response ends by chance where its last characters end less often than this (sentences, list items).
-RARE_END, RARE_ITEM = 0.02, 0.05
+#: Characters of the contexts, and what the share of a shorter one counts in a longer one's, in occurrences.
+ORDERS, DRAWN = (1, 2, 4, 6), 10.0
+#: The share before any occurrence: an end that no other text has shows nothing.
+UNSEEN = 0.05
+#: A response is cut off where its last characters end one less often than this.
+RARE_END = 0.01
+#: Copies of a response that are left out of the counts it is judged by, at most.
+COPIES = 3
+#: Bits of the addresses of the filter of contexts.
+FILTER = 26
+#: A broken escape at the end.
+ESCAPE = re.compile(r"(?:%[0-9A-F]{2}%[0-9A-F]?|\\u[0-9a-f]{1,3}|&[a-z]{1,6})$", re.I)
+#: A bracket left open at the end.
+OPENED = re.compile(r"[(（][^()（）.!?。！？]{0,40}$")
+#: A number or place in brackets, after which no stop need follow.
+BRACKETS = re.compile(r"\([^()]*\d[^()]*\)$|（[^（）]*\d[^（）]*）$")
 
 
 def is_empty(o: str | None) -> bool:
@@ -72,21 +87,22 @@ def prescribed(instruction: str | None, o: str) -> bool:
 
 
 def refuses(o: str) -> bool:
-    """Whether all sentences of `o` decline or go with declining."""
-    if len(o) > 600:
-        return False
-    parts = [p.strip() for p in _SENT.findall(o.replace("’", "'")) if fold(p)]
-    said = False
-    for p in parts:
+    """Whether all sentences of `o`, four at most, decline or go with declining."""
+    said, n = False, 0
+    for m in _SENT.finditer(o.replace("’", "'")):
+        p = m.group().strip()
+        if not fold(p):
+            continue
+        n += 1
+        if n > 4:
+            return False
         low = p.lower()
         if any(re.search(who, low) and re.search(what, low) for who, what in REFUSAL):
             said = True
         elif not FILLER.search(p):
             return False
-    if not said:
-        return False
     # an apology for the form of an answer declines nothing: the refusal needs no more than its own sentence
-    return len(parts) <= 4 and not re.search(r"[:：]\s*\S{3,}.{30,}", o)
+    return said and not re.search(r"[:：]\s*\S{3,}.{30,}", o)
 
 
 def copies(o: str, question: str, instruction: str | None, slack: int = 12) -> bool:
@@ -122,73 +138,90 @@ def _tails(o: str):
     return False, [s]
 
 
-def _slot(c: str) -> int:
-    return zlib.crc32(c.lower().encode("utf-8", "surrogatepass")) & ((1 << END_BITS) - 1)
-
-
-#: Width of the contexts of Latin text, in sentences and in list items; Han text has 2.
-LONG = (4, 6)
-
-
-def _count_ends(c: dict) -> dict:
-    """(kind, slot, ends, all): how often contexts of 2 and of LONG characters stand at ends, and anywhere.
-
-    kind: 0 and 1 for sentences, 2 and 3 for list items; the odd ones for the longer contexts.
-    """
-    end, every = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
-    for o in c["o"]:
-        if o is None or not o.strip():
-            continue
+def _hashes(texts: list[str], kinds: list[bool]):
+    """(hash of the last characters before each place, by order; whether they fill the order; place of each text's end)."""
+    a = codes("".join("\n" + t for t in texts)).astype(np.uint64)
+    n = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    end = np.cumsum(n) - 1
+    at = np.arange(a.size) - np.repeat(end - n + 1, n)  # place in its own text
+    salt = np.repeat(np.array(kinds, np.uint64) * np.uint64(0xD6E8FEB86659FD93), n)
+    out = []
+    for w in ORDERS:
+        h = np.full(a.size, w * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64) + salt
+        for i in range(min(w, a.size)):
+            h[i:] = (h[i:] ^ a[: a.size - i]) * np.uint64(0xBF58476D1CE4E5B9)
+            h[i:] ^= h[i:] >> np.uint64(31)
+        out.append((h, at >= w - 1))
+    return out, end
+
+
+def last_contexts(outputs: list) -> tuple[list, list]:
+    """(whether each text is a list of terms, hashes of its last characters by order, fewer where it is shorter)."""
+    kinds, lasts = [], []
+    for o in outputs:
         lst, items = _tails(o)
-        for s in items:
-            low = s.strip().lower()
-            if len(low) < 3:
-                continue
-            for long, w in ((0, 2), (1, LONG[lst])):
-                kind = 2 * lst + long
-                every[kind].update(map("".join, zip(*(low[i:] for i in range(w)))))
-                end[kind][low[-w:]] += 1
-    out = {"kind": [], "slot": [], "ends": [], "n": []}
-    for kind in range(4):
-        acc: dict = {}
-        for at, counts in ((0, end[kind]), (1, every[kind])):
-            for g, v in counts.items():
-                acc.setdefault(_slot(g), [0, 0])[at] += v
-        out["kind"] += [kind] * len(acc)
-        out["slot"] += list(acc)
-        out["ends"] += [e for e, _ in acc.values()]
-        out["n"] += [n for _, n in acc.values()]
-    return out
-
-
-def end_model(responses: DataFrame) -> np.ndarray:
-    """P(end | last characters) by kind and hashed context, counted over all rows of column o."""
-    c = arrow_map(responses.select("o"), _count_ends, "kind int, slot int, ends long, n long")
-    rows = c.groupBy("kind", "slot").agg(F.sum("ends").alias("e"), F.sum("n").alias("n")).toPandas()  # at most 4 * 2^16
-    p = np.zeros((4, 1 << END_BITS), np.float32)
-    p[rows.kind, rows.slot] = (rows.e / (rows.n + 5.0)).astype(np.float32)
-    return p
-
-
-def end_chance(o: str, ends: np.ndarray) -> tuple[bool, float]:
-    """(list?, likelihood that a text ends after these last characters)."""
-    lst, items = _tails(o)
-    s = (items[-1] if items else o).strip().lower()
-    w = 2 if s[-1:] > "㐀" else LONG[lst]
-    if len(s) < w:
-        return lst, 1.0
-    return lst, float(ends[(2 if lst else 0) + (w > 2), _slot(s[-w:])])
-
-
-def cut_off(o: str, ends: np.ndarray) -> bool:
-    """Whether a response stops inside a word or sentence."""
-    s = o.rstrip()
-    if MARKER.search(s):
-        return True
-    lst, p = end_chance(s, ends)
-    if lst:
-        return p < RARE_ITEM or s[-1] in ",、;；，"
-    return not closed(s) and p < 0.5 and not re.search(r"\([^()]*\d[^()]*\)$|（[^（）]*\d[^（）]*）$", s) and (p < RARE_END or len(s) > 60 or bool(re.search(r"[.!?。！？]", s)))
+        kinds.append(lst)
+        lasts.append((items[-1] if items else o).strip().lower())
+    got, end = _hashes(lasts, kinds)
+    return kinds, [[int(np.int64(h[e].view(np.int64))) for h, full in got if full[e]] for e in end]
+
+
+def _let(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64((1 << FILTER) - 1)).astype(np.int64)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _count_contexts(sent):
+    """(h, ends, n) of the contexts that the filter lets through, counted by some thousand texts."""
+
+    def run(batches):
+        bits = sent.value
+        for b in batches:
+            units, kinds = [], []
+            for o in b.column(0).to_pylist():
+                if o is not None and o.strip():
+                    lst, items = _tails(o)
+                    units += [s.strip().lower() for s in items]
+                    kinds += [lst] * len(items)
+            hs, ends = [], []
+            for lo, hi in groups_by_size(units):
+                got, end = _hashes(units[lo:hi], kinds[lo:hi])
+                last = np.zeros(got[0][0].size, bool)
+                last[end] = True
+                for h, full in got:
+                    ok = full & _let(bits, h)
+                    hs.append(h[ok])
+                    ends.append(last[ok])
+            h, first, n = np.unique(np.concatenate(hs) if hs else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+            e = np.bincount(first, weights=np.concatenate(ends) if ends else None, minlength=h.size).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(e), pa.array(n.astype(np.int64))], names=["h", "ends", "n"])
+
+    return run
+
+
+def end_chances(judged: DataFrame, responses: DataFrame) -> DataFrame:
+    """`judged` (with lst: a list of terms?, hs: hashes of its last characters, r: hash of its text) with chance: how likely
+    a text of column o of `responses` ends after these characters, itself and its copies left out.
+
+    Equal ends are one chain before they meet the counts.
+    """
+    spark = judged.sparkSession
+    bit = F.col("h").bitwiseAND(F.lit((1 << FILTER) - 1))
+    asked = judged.select(F.explode("hs").alias("h"))
+    words = asked.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (FILTER - 6), np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    counts = responses.select("o").mapInArrow(_count_contexts(spark.sparkContext.broadcast(bits)), "h long, ends long, n long")
+    counts = counts.groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
+    again = judged.groupBy("r").agg(F.least(F.count("*"), F.lit(COPIES)).alias("c"))
+    d = judged.join(again, "r").withColumn("chain", F.xxhash64("hs", "c"))
+    chains = d.groupBy("chain").agg(F.first("hs").alias("hs"), F.first("c").alias("c"))
+    met = chains.select("chain", "c", F.posexplode("hs").alias("place", "h")).join(counts, "h")
+    steps = F.array_sort(F.collect_list(F.struct("place", (F.col("ends") - F.col("c")).alias("e"), (F.col("n") - F.col("c")).alias("n"))))
+    met = met.groupBy("chain").agg(steps.alias("steps"))
+    drawn = lambda p, x: (F.greatest(x["e"], F.lit(0)) + DRAWN * p) / (F.greatest(x["n"], F.lit(0)) + DRAWN)
+    met = met.select("chain", F.aggregate("steps", F.lit(UNSEEN), drawn).alias("chance"))
+    return d.join(met, "chain", "left").drop("chain", "c")
 
 
 def _proper(o: str, question: str) -> str:
@@ -216,36 +249,47 @@ def broken_pairs(
     """
     kd = rows.schema[key].dataType.simpleString()
     d = rows.select(F.col(key).alias("k"), F.col(instruction).alias("i"), F.col(question).alias("q"), F.col(answer).alias("o")).where("k is not null")
-    ends = end_model(d)
-    sent = rows.sparkSession.sparkContext.broadcast((model, ends))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(c):
-        model, ends = sent.value
-        found, ask = {}, []
-        for n, (i, q, o) in enumerate(zip(c["i"], c["q"], c["o"])):
+        n = len(c["k"])
+        told, broken, foreign, spared, ask = [None] * n, [False] * n, [False] * n, [False] * n, []
+        for m, (i, q, o) in enumerate(zip(c["i"], c["q"], c["o"])):
             q = q if q and q.strip() else i or ""
             if is_empty(o):
-                found[n] = "empty"
+                told[m] = "empty"
             elif prescribed(i, o):
-                continue
+                told[m] = "none"
             elif refuses(o):
-                found[n] = "refusal"
+                told[m] = "refusal"
             elif copies(o, q, i if q != i else None):
-                found[n] = "copy"
-            elif cut_off(o, ends):
-                found[n] = "truncated"
-            elif not ASKED.search(i or ""):
-                ask.append((n, q, _proper(o, q)))
-        if ask:
-            for lo, hi in groups_by_size([a + b for _, a, b in ask]):
-                part = ask[lo:hi]
-                lq, lo_ = Labelled([a for _, a, _ in part], model), Labelled([b for _, _, b in part], model)
-                for m, (n, a, b) in enumerate(part):
-                    if _differs(lq, lo_, m, a, b):
-                        found[n] = "other_language"
-        return {"k": [c["k"][n] for n in sorted(found)], "defect": [found[n] for n in sorted(found)]}
-
-    return arrow_map(d, run, f"k {kd}, defect string").distinct().withColumnRenamed("k", key)
+                told[m] = "copy"
+            else:
+                s = o.rstrip()
+                broken[m], spared[m] = bool(MARKER.search(s) or ESCAPE.search(s) or OPENED.search(s)), bool(BRACKETS.search(s))
+                if not ASKED.search(i or ""):
+                    ask.append((m, q, _proper(o, q)))
+        for lo, hi in groups_by_size([x + y for _, x, y in ask]):
+            part = ask[lo:hi]
+            lq, said = Labelled([x for _, x, _ in part], sent.value), Labelled([y for _, _, y in part], sent.value)
+            for at, (m, x, y) in enumerate(part):
+                foreign[m] = _differs(lq, said, at, x, y)
+        lst, hs = last_contexts([o if o is not None and o.strip() else "" for o in c["o"]])
+        open_ = [t is None for t in told]
+        return {
+            "k": c["k"], "told": told, "broken": broken, "foreign": foreign, "spared": spared, "lst": lst,
+            "hs": [h if yes else [] for h, yes in zip(hs, open_)], "r": [_name(o) for o in c["o"]],
+        }
+
+    schema = f"k {kd}, told string, broken boolean, foreign boolean, spared boolean, lst boolean, hs array<long>, r long"
+    judged = end_chances(materialize(arrow_map(d, run, schema), "judged"), d)
+    cut = F.col("broken") | (F.col("chance") < RARE_END) & ~F.col("spared")
+    defect = F.when(F.col("told") != "none", F.col("told")).when(F.col("told").isNull() & cut, "truncated").when(F.col("told").isNull() & F.col("foreign"), "other_language")
+    return judged.select(F.col("k").alias(key), defect.alias("defect")).where("defect is not null").distinct()
+
+
+def _name(o: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b((o or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _differs(q: Labelled, o: Labelled, m: int, a: str, b: str) -> bool:

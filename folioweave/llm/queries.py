@@ -9,10 +9,12 @@ from . import language, leaks, mixing, neighbours, overlap, pairs, scans, spam,
 from ._frames import once
 
 ALPACA = "train_round2_residual_fix_alpaca"
+#: The public vocabulary that sizes are counted in.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _manual(spark, sf_dir, *cols):
-    return once(table(spark, sf_dir, "manual_info"), "unique_id", *cols)
+    return once(spread(table(spark, sf_dir, "manual_info").select("unique_id", "page_content", "metadata", "ingested_at")), "unique_id", *cols)
 
 
 def p1_found(spark, sf_dir):
@@ -59,7 +61,7 @@ def p5_found(spark, sf_dir):
 def p5_report(spark, sf_dir):
     rows = spread(table(spark, sf_dir, ALPACA).select("row_id", "file_name", "input", "output"))
     rows = overlap.with_split(rows, table(spark, sf_dir, "dataset_info"))
-    return overlap.overlap_report(overlap.cross_split_overlaps(rows), rows)
+    return overlap.overlap_report(overlap.linked_records(*overlap.cross_split_links(rows)), rows)
 
 
 def p6_found(spark, sf_dir):
@@ -95,11 +97,11 @@ def p8_found(spark, sf_dir):
 
 
 def p9_mix(spark, sf_dir):
-    return mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets"))[0]
+    return mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets"), VOCABULARY)[0]
 
 
 def p9_shares(spark, sf_dir):
-    return mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets"))[1]
+    return mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets"), VOCABULARY)[1]
 
 
 def p10_found(spark, sf_dir):

@@ -1,24 +1,29 @@
 """Problem 2: texts that were cut off inside a word or sentence, or in transfer.
 
-Two tests make a case. The self-join by prefix sorts all texts by range; a text that is a strict prefix of a
-longer copy is a prefix of its neighbour in that order, so equal beginnings of any number never meet in
-pairs. It proves a cut where the longer copy goes on inside a word or sentence. Where no longer copy exists
-the end of the text decides: a marker of a cut, or a last sentence without an end that is no heading,
-caption, list item, table row or code. Page furniture after the last words of scanned pages is left out.
-A child whose text goes on in its parent is no case.
+Two tests make a case. The self-join by prefix: every text without a sentence's end asks, by the hash of its characters,
+whether it is a strict prefix of a longer copy elsewhere; texts that begin like one of those that ask offer the hashes of
+all their prefixes, and equal hashes meet. It proves a cut where the longer copy goes on inside a word or sentence.
+Where no longer copy exists the end of the text decides: a marker of a cut, or a last sentence without an end that
+is no heading, caption, list item, table row or code. Page furniture after the last words of scanned pages is left out.
+A child whose text goes on in its parent is no case; its end is looked for in the parent by the same hashes.
+
+No text is shuffled or sorted: hashes are. A bitmap of fixed size lets through only hashes that somebody asked for;
+as it fills up with the input more are shuffled and none is lost. Copies are one hash before any join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import materialize
 from ._frames import arrow_map
+from ._text import codes
 from .scans import Page, closed
 
 #: Markers of a cut at the end of a text; fixed values.
@@ -87,102 +92,183 @@ def _heading(s: str) -> bool:
     return bool(big) and all(w[:1].isupper() for w in big) and not re.search(r"[,;:]", s) and len(words) <= 8
 
 
-def prefix_of_longer(docs: DataFrame, key: str, text: str, least: int = 32) -> DataFrame:
-    """(key, more): texts of `least` characters or more, without a sentence's end, that are strict prefixes of
-    a longer text elsewhere.
+# --- hashes of prefixes and of windows ---------------------------------------------------------------------
+_M = 0x9E3779B97F4A7C15
+_INV = pow(_M, -1, 1 << 64)
+#: Characters of the beginning by which longer copies are told first, and the bits of the filter's addresses.
+HEAD, FILTER = 32, 28
+#: Characters of a child's end that are looked for in its parent, without white space; shorter texts are looked for whole.
+TAIL = 64
 
-    `more` is what follows in the longer copy, 40 characters of it. All texts are range-sorted; each is
-    compared with the next different one of its partition, the last with the first of the next partition.
-    Shorter texts would be prefixes by chance. Equal texts all get their row.
-    """
-    kd = docs.schema[key].dataType.simpleString()
-    d = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= least)
-    d = d.repartitionByRange("t").sortWithinPartitions("t").select("k", "t", F.spark_partition_id().alias("pid"))
-    schema = f"k {kd}, more string, pid int, edge string, t string"
-
-    def walk(batches):
-        """Prefix pairs; and the partition's first text and its last keys with their text, marked by edge."""
-        ks, prev, pid, started = [], None, None, False
-        out = {n: [] for n in ("k", "more", "pid", "edge", "t")}
-
-        def add(k, more, edge, t):
-            for n, v in zip(out, (k, more, pid, edge, t)):
-                out[n].append(v)
-
-        def flush():
-            b = pa.RecordBatch.from_pydict(out, schema=sch)
-            for v in out.values():
-                v.clear()
-            return b
-
-        sch = None
+
+class _Powers:
+    """Powers of the base and of its inverse, as many as were ever needed."""
+
+    def __init__(self):
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.up.size <= n:
+            k = np.full(max(n + 1, 4096), _M, np.uint64)
+            k[0] = 1
+            self.up = np.cumprod(k)
+            k[1:] = _INV
+            self.down = np.cumprod(k)
+        return self.up[: n + 1], self.down[: n + 1]
+
+
+_POWERS = _Powers()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def prefix_sums(t: str) -> np.ndarray:
+    """A number for each prefix of a text, the empty one first; equal prefixes have equal numbers."""
+    a = codes(t).astype(np.uint64)
+    up, _ = _POWERS.to(a.size)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed((a + np.uint64(1)) * np.uint64(_M)) * up[: a.size])])
+
+
+def prefix_keys(sums: np.ndarray, lengths: np.ndarray, salt: int = 0) -> np.ndarray:
+    return _mixed(sums[lengths] + lengths.astype(np.uint64) * np.uint64(_M) + np.uint64(salt & (1 << 64) - 1))
+
+
+def window_keys(sums: np.ndarray, ends: np.ndarray, width: int, salt: int) -> np.ndarray:
+    """Keys of the windows of `width` characters that end at `ends`, wherever they stand."""
+    _, down = _POWERS.to(sums.size)
+    return _mixed((sums[ends] - sums[ends - width]) * down[ends - width] + np.uint64((salt + width * _M) & (1 << 64) - 1))
+
+
+def _name(x) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _bare(t: str) -> str:
+    return "".join(t.split())
+
+
+def _breaks(more: str) -> bool:
+    """Whether what follows a text in its longer copy begins anew, so that nothing was cut."""
+    return not more.strip() or more.lstrip(" \t\r")[:1] == "\n"
+
+
+def _asked(c: dict) -> dict:
+    """What each record asks for: (k, s, by_end, h: its whole text as a prefix, g: texts that begin like it,
+    tail and up: its end in its parent, and that parent with the width of the end)."""
+    out = {n: [] for n in ("k", "s", "by_end", "h", "g", "tail", "up")}
+    for k, s, up, t in zip(c["k"], c["s"], c["up"], c["t"]):
+        end = t is not None and cut_at_end(t)
+        h = g = tail = parent = None
+        if t and (end or not closed(t) and _LETTER.search(t)):
+            sums = prefix_sums(t)
+            if len(t) >= HEAD:
+                h, g = prefix_keys(sums, np.array([len(t), HEAD]))
+            else:  # short texts are prefixes by chance, but for copies of the same source
+                h, g = prefix_keys(sums, np.array([len(t)]), _name(s))[0], _mixed(np.array([_name(s)], np.uint64))[0]
+            bare = _bare(t) if up is not None else ""
+            if bare:
+                w, of = min(TAIL, len(bare)), _name(up)
+                tail = window_keys(prefix_sums(bare), np.array([len(bare)]), w, of)[0]
+                parent = _mixed(np.array([(of + w) & (1 << 64) - 1], np.uint64))[0]
+        for n, v in zip(out, (k, s, end, *(None if x is None else int(np.int64(x.view(np.int64))) for x in (h, g, tail, parent)))):
+            out[n].append(v)
+    return out
+
+
+def _bitmap(asked: DataFrame) -> np.ndarray:
+    """The low and the high bits of all numbers that are asked for, as a bitmap of fixed size."""
+    h = asked.select(F.explode(F.array("h", "g", "tail", "up")).alias("h")).where("h is not null")
+    bit = F.explode(F.array(F.col("h").bitwiseAND(F.lit((1 << FILTER) - 1)), F.shiftrightunsigned("h", 64 - FILTER)))
+    w = h.select(bit.alias("b")).select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("b"))
+    words = w.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out
+
+
+def _let(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(h.size, bool)
+    for at in (h & np.uint64((1 << FILTER) - 1), h >> np.uint64(64 - FILTER)):
+        at = at.astype(np.int64)
+        out &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+    return out
+
+
+def _offered(sent):
+    """(h, more) of each record: hashes of its prefixes that somebody asks for, with what follows them; and hashes of
+    windows that its children ask for, without."""
+
+    def run(batches):
+        bits = sent.value
         for b in batches:
-            if sch is None:
-                sch = pa.schema([("k", b.schema.field("k").type), ("more", pa.string()), ("pid", pa.int32()), ("edge", pa.string()), ("t", pa.string())])
-            for k, t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                pid = p
-                if not started:
-                    started = True
-                    add(k, None, "first", t)
-                if t == prev:
-                    ks.append(k)
+            hs, more = [], []
+            for k, s, t in zip(*(b.column(n).to_pylist() for n in ("k", "s", "t"))):
+                if not t:
                     continue
-                if prev is not None and t.startswith(prev) and not closed(prev):
-                    more = t[len(prev) : len(prev) + 40]
-                    for x in ks:
-                        add(x, more, None, None)
-                ks, prev = [k], t
-            yield flush()
-        if started:
-            for x in ks:
-                add(x, None, "last", prev)
-            yield flush()
-
-    w = materialize(d.mapInArrow(walk, schema), "prefixes")
-    inner = w.where("edge is null").select("k", "more")
-    # one first text a partition: the next partition's first is the neighbour of a partition's last
-    first = w.where("edge = 'first'").select(F.col("pid").alias("p2"), F.col("t").alias("t2"))
-    nxt = first.select("p2", "t2", F.lag("p2").over(Window.orderBy("p2")).alias("pid"))
-    ended = F.col("t").rlike(r"[.!?。！？][\"'”’»）)\]】」』\s]*$")
-    edge = w.where("edge = 'last'").join(nxt, "pid").where(F.col("t2").startswith(F.col("t")) & (F.col("t2") != F.col("t")) & ~ended)
-    edge = edge.select("k", F.substring(F.expr("substring(t2, length(t) + 1)"), 1, 40).alias("more"))
-    return inner.unionByName(edge).withColumnRenamed("k", key)
+                salt = _name(s)
+                short = bool(_let(bits, _mixed(np.array([salt], np.uint64)))[0])
+                sums = prefix_sums(t[:HEAD] if not short and len(t) > HEAD else t)
+                long = len(t) > HEAD and bool(_let(bits, prefix_keys(sums, np.array([HEAD])))[0])
+                if long and sums.size <= len(t):
+                    sums = prefix_sums(t)
+                for yes, lo, hi, salt in ((short, 1, min(HEAD, len(t)), salt), (long, HEAD, len(t), 0)):
+                    if yes and hi > lo:
+                        at = np.arange(lo, hi)
+                        keys = prefix_keys(sums, at, salt)
+                        for n in np.flatnonzero(_let(bits, keys)):
+                            rest = t[at[n] : at[n] + 40]
+                            if not _breaks(rest):
+                                hs.append(keys[n])
+                                more.append(rest)
+                of = _name(k)
+                widths = np.arange(1, TAIL + 1)
+                asked = widths[_let(bits, _mixed(np.uint64(of) + widths.astype(np.uint64)))]
+                if asked.size:
+                    bare = _bare(t)
+                    sums = prefix_sums(bare)
+                    for w in asked.tolist():
+                        if len(bare) > w:
+                            keys = np.unique(window_keys(sums, np.arange(w, len(bare)), w, of))
+                            keys = keys[_let(bits, keys)]
+                            hs += list(keys)
+                            more += [None] * keys.size
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(more, pa.string())], names=["h", "more"])
+
+    return run
 
 
 def truncated(
     docs: DataFrame, key: str = "unique_id", text: str = "page_content", source: str = "source", parent: str | None = "parent_id",
     level: str | None = "chunk_level",
 ) -> DataFrame:
-    """(key, source, cut, by_prefix, by_end) for every row of `docs`, one row a key expected.
+    """(key, source, cut, by_prefix, by_end, in_parent, more) for every row of `docs`, one row a key expected.
 
-    by_prefix: a longer copy goes on inside a word or sentence; by_end: the text's own end shows the cut.
-    `cut` is either, unless the row is a child (`level` is 'child') and its text goes on in its parent.
-    Null, empty and wordless texts are never cut. Repeated keys get one row each.
+    by_prefix: a longer copy goes on inside a word or sentence, `more` is how (40 characters); texts of fewer than
+    HEAD characters are compared with copies of their own source only. by_end: the text's own end shows the cut.
+    in_parent: the row is a child (`level` is 'child') and its last TAIL characters stand in its parent, which goes on.
+    `cut` is one of the first two without the last. Null, empty and wordless texts are never cut. Repeated keys get
+    one row each.
     """
-    kd = docs.schema[key].dataType.simpleString()
-    cols = [F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("s")]
-    child = F.col(level) == "child" if level else F.lit(False)
-    up = F.when(child, F.col(parent)) if parent else F.lit(None).cast(kd)
-    d = docs.select(*cols, up.alias("up"))
-    ends = arrow_map(d.where("t is not null").select("k", "t"), lambda c: {"k": c["k"], "by_end": [cut_at_end(t) for t in c["t"]]}, f"k {kd}, by_end boolean")
-    pre = prefix_of_longer(d.where("t is not null"), "k", "t")
-    # the longer copy goes on inside a sentence if it does not begin with a break
-    inside = ~F.col("more").rlike(r"^\s*\n|^\s*$")
-    pre = pre.where(inside).select("k").distinct().withColumn("pre", F.lit(True))
-    verdict = d.select("k", "s", "up").join(ends.groupBy("k").agg(F.max("by_end").alias("by_end")), "k", "left").join(pre, "k", "left")
-    verdict = verdict.select("k", "s", "up", F.coalesce("by_end", F.lit(False)).alias("by_end"), F.coalesce("pre", F.lit(False)).alias("pre"))
-    if not (parent and level):
-        goes = None
-    else:
-        sus = verdict.where("up is not null and (by_end or pre)").select("k", "up").distinct()
-        kids = sus.join(d.select("k", "t"), "k").select("k", "up", F.regexp_replace("t", r"\s+", "").alias("t"))
-        par = d.where("t is not null").join(sus.select(F.col("up").alias("k")).distinct(), "k", "left_semi").select(F.col("k").alias("up"), F.regexp_replace("t", r"\s+", "").alias("pt"))
-        goes = kids.join(par, "up").where(F.expr("locate(t, pt) > 0 and length(pt) >= locate(t, pt) + length(t)")).select("k").distinct().withColumn("goes", F.lit(True))
-    out = verdict if goes is None else verdict.join(goes, "k", "left")
-    cont = F.coalesce(F.col("goes"), F.lit(False)) if goes is not None else F.lit(False)
-    return out.select(
-        F.col("k").alias(key), F.col("s").alias(source), ((F.col("by_end") | F.col("pre")) & ~cont).alias("cut"), F.col("pre").alias("by_prefix"), F.col("by_end")
-    )
+    child = (F.col(level) == "child") & F.col(parent).isNotNull() if parent and level else F.lit(False)
+    up = F.when(child, F.col(parent)) if parent else F.lit(None).cast("string")
+    d = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), up.alias("up"), F.col(text).alias("t"))
+    kd, sd = (d.schema[c].dataType.simpleString() for c in "ks")
+    asked = materialize(arrow_map(d, _asked, f"k {kd}, s {sd}, by_end boolean, h long, g long, tail long, up long"), "asked")
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(asked))
+    met = materialize(d.select("k", "s", "t").mapInArrow(_offered(sent), "h long, more string").groupBy("h").agg(F.min("more").alias("more")), "met")
+    # who asks for nothing asks for a number of its own, so that no task gets all of them
+    own = lambda c: F.coalesce(c, F.xxhash64("k"))
+    pre = met.where("more is not null").select(F.col("h").alias("mh"), "more")
+    goes = met.where("more is null").select(F.col("h").alias("th"), F.lit(True).alias("goes"))
+    v = asked.join(pre, own(F.col("h")) == F.col("mh"), "left").join(goes, own(F.col("tail")) == F.col("th"), "left")
+    by_prefix, in_parent = F.col("h").isNotNull() & F.col("more").isNotNull(), F.col("tail").isNotNull() & F.col("goes").isNotNull()
+    return v.select(
+        F.col("k").alias(key), F.col("s").alias(source), ((F.col("by_end") | by_prefix) & ~in_parent).alias("cut"), by_prefix.alias("by_prefix"), "by_end",
+        in_parent.alias("in_parent"), F.when(by_prefix, F.col("more")).alias("more"),
+    )
 
 
 def truncation_rates(verdicts: DataFrame, source: str = "source") -> DataFrame:

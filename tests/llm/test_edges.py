@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioweave.llm import language, leaks, mixing, neighbours, overlap, pairs, scans, spam, splitting, truncation
+from folioweave.llm.queries import VOCABULARY
 
 LONG = "The cache keeps every page that the reader asked for in the last hour. " * 900
 TEXTS = [None, "", "   ", "\n", "x", "Hello there, this is a whole sentence. ", LONG, "Ein ganzer Satz steht hier auf Deutsch. ", "这是一个完整的中文句子。", "a" * 5000, "The end of this text is cut off in the mid"]
@@ -100,14 +101,14 @@ def test_neighbours(spark):
 
 
 def test_mixing(spark, tmp_path):
-    if not __import__("os").path.exists(mixing.VOCABULARY):
+    if not __import__("os").path.exists(VOCABULARY):
         pytest.skip("no vocabulary files here")
     d = docs(spark, key="doc_id", text="text").withColumn("source", F.lit("a")).withColumn("tokens", F.lit(1)).withColumn("copy", F.lit(1))
     tg = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1), ("c", None, 1), ("d", 0.0, 1)], "source string, target_share double, max_repeats int")
-    m, s = mixing.mix(d, tg)
+    m, s = mixing.mix(d, tg, VOCABULARY)
     assert m.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     assert {r.source: r.share for r in s.collect()} == {"a": 1.0, "b": 0.0}
-    m, s = mixing.mix(d.limit(0), tg)
+    m, s = mixing.mix(d.limit(0), tg, VOCABULARY)
     assert m.count() == 0 and s.count() == 2
-    m, _ = mixing.mix(d, tg.limit(0))
+    m, _ = mixing.mix(d, tg.limit(0), VOCABULARY)
     assert m.count() == 0

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioweave.llm import language, leaks, mixing, neighbours, overlap, pairs, scans, spam, splitting, truncation
+from folioweave.llm.queries import VOCABULARY
 from folioweave.llm._text import fold
 
 WORDS = "the old index keeps every short page near a local cache while some reader asks for more results of that long query and this server answers within one second".split()
@@ -103,11 +104,24 @@ def test_distance():
 def test_prefix_join(spark):
     r = random.Random(5)
     longs = [" ".join(sentence(r) for _ in range(4)) for _ in range(40)]
-    rows = [(f"l{i}", t) for i, t in enumerate(longs)] + [(f"c{i}", t[: 40 + i]) for i, t in enumerate(longs)] + [("same", longs[0][:40])]
-    d = spark.createDataFrame(rows, "k string, t string")
-    got = {x.k for x in truncation.prefix_of_longer(d, "k", "t").collect()}
-    want = {k for k, t in rows if not scans.closed(t) and any(u != t and u.startswith(t) for _, u in rows)}
-    assert got == want and "same" in got
+    rows = [(f"l{i}", t, "a") for i, t in enumerate(longs)] + [(f"c{i}", t[: 40 + i], "b") for i, t in enumerate(longs)] + [("same", longs[0][:40], "c")]
+    rows += [("short", longs[1][:9], "a"), ("chance", longs[2][:9], "elsewhere"), ("head", "Some heading", "a"), ("page", "Some heading\nand its text.", "a")]
+    d = spark.createDataFrame(rows, "unique_id string, page_content string, source string")
+    got = {x.unique_id: x for x in truncation.truncated(d, parent=None, level=None).where("by_prefix").collect()}
+    whole = {k: t for k, t, _ in rows}
+    want = {k for k, t, _ in rows if len(t) >= truncation.HEAD and not scans.closed(t) and any(u != t and u.startswith(t) for _, u, _ in rows)}
+    assert set(got) == want | {"short"} and "same" in got and all(x.cut for x in got.values())
+    assert all(any(t.startswith(whole[k] + x.more) for _, t, _ in rows) for k, x in got.items())
+
+
+def test_goes_on_in_parent(spark):
+    r = random.Random(8)
+    p = " ".join(sentence(r, 12) for _ in range(20))
+    rows = [("p", p, "parent", None), ("c1", p[100:400], "child", "p"), ("c2", p[len(p) - 300 : -1], "child", "p"), ("c3", p[50:90], "child", "q"), ("c4", p[:8], "child", "p"), ("c5", "Something else that is cut in the mid", "child", "p")]
+    d = spark.createDataFrame(rows, "unique_id string, page_content string, chunk_level string, parent_id string").withColumn("source", F.lit("s"))
+    got = {x.unique_id: x.in_parent for x in truncation.truncated(d).collect()}
+    # c2 goes on by the parent's last stop alone
+    assert got == {"p": False, "c1": True, "c2": True, "c3": False, "c4": True, "c5": False}
 
 
 def test_cut_at_end():
@@ -126,7 +140,7 @@ def test_graph_recall():
     np.fill_diagonal(s, -2)
     true = np.argsort(-s, axis=1)[:, :5]
     hit = np.mean([len(set(a[a != i][:5]) & set(b)) / 5 for i, (a, b) in enumerate(zip(ids, true))])
-    assert hit > 0.95 and (g.edge < len(x)).all() and g.edge.shape[1] == 20
+    assert hit > 0.95 and (g.edge < len(x)).all() and g.edge.shape[1] == 30
 
 
 def test_neighbours_recall(spark):
@@ -141,13 +155,31 @@ def test_neighbours_recall(spark):
     assert len(true & set(zip(got.vec_id, got.neighbour))) / len(true) > 0.9
 
 
+def test_many_shards(spark, monkeypatch):
+    """Hundreds of shards, grouped about coarser centroids, and shards that only hashes can divide."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([c + 0.3 * r.normal(size=(40, 16)) for c in r.normal(size=(100, 16))])
+    d = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "FLAT", 64)
+    got = neighbours.most_similar(d, shard_size=16, sample=2000).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = {(i, j) for i in range(len(u)) for j in np.argsort(-s[i])[:5]}
+    assert len(true & set(zip(got.vec_id, got.neighbour))) / len(true) > 0.9
+    monkeypatch.setattr(neighbours, "_split_hot", lambda reps, cent, size: (cent[:1], {0: reps.count()}))
+    whole = neighbours.most_similar(d, shard_size=100, sample=2000).toPandas()
+    assert len(true & set(zip(whole.vec_id, whole.neighbour))) / len(true) > 0.95
+
+
 def test_hot_shards_are_divided(spark):
     r = np.random.default_rng(2)
     x = np.concatenate([r.normal(size=(400, 8)), np.array([3.0] + [0] * 7) + 0.05 * r.normal(size=(1200, 8))])
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     d = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<float>")
     start = neighbours.fit_centroids(x[:400], 4)  # none of them knows the dense region
-    cent = neighbours._split_hot(d, start, 150, 1000, 2000)
+    cent, count = neighbours._split_hot(d, start, 150)
+    assert sum(count.values()) == 1600 and max(count.values()) <= 300
     assert np.bincount((x @ cent.T).argmax(1)).max() <= 300 < np.bincount((x @ start.T).argmax(1)).max()
 
 
@@ -169,7 +201,12 @@ def test_within_against_table():
             k = r.randrange(len(b) + 1)
             b[k : k + r.randint(0, 1)] = r.choice(["", "a", "b"])
         b = "".join(b) or "a"
-        assert overlap.within(a, b, 0.1) == (lev(a, b) <= int(0.1 * max(len(a), len(b))))
+        near = lev(a, b) <= int(0.1 * max(len(a), len(b)))
+        most = int(0.1 * max(len(a), len(b)))
+        assert overlap.within(a, b, 0.1) == near == overlap.near_pairs([a], [b], 0.1)[0]
+        if abs(len(a) - len(b)) <= most:
+            short, long = sorted((a, b), key=len)
+            assert overlap._by_diagonals(overlap.codes(short), overlap.codes(long), most) == near
 
 
 def test_overlap_planted(spark):
@@ -265,19 +302,19 @@ def test_viterbi_against_all_paths():
 
 
 def test_mix_shares(spark):
-    if not __import__("os").path.exists(mixing.VOCABULARY):
+    if not __import__("os").path.exists(VOCABULARY):
         pytest.skip("no vocabulary files here")
     r = random.Random(11)
     rows = [(i, sentence(r), s) for i, s in enumerate(["big"] * 600 + ["mid"] * 200 + ["small"] * 30)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     tg = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4)], "source string, target_share double, max_repeats int")
-    m, s = mixing.mix(d, tg, rows_per_bucket=50)
+    m, s = mixing.mix(d, tg, VOCABULARY, rows_per_bucket=50)
     p = m.toPandas()
     assert p.groupby(["doc_id"]).size().max() <= 4 and not p.duplicated(["doc_id", "copy"]).any()
     assert p[p.source == "big"]["copy"].max() == 1
     assert all(abs(x.share - x.target_share) < 0.03 for x in s.collect())
     assert (p.finish.diff().dropna() >= 0).all()
-    fixed, _ = mixing.mix(d, tg, budget=1000)
+    fixed, _ = mixing.mix(d, tg, VOCABULARY, budget=1000)
     assert 900 < fixed.agg(F.sum("tokens")).first()[0] <= 1000
 
 
