@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,24 +36,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where that is unset a local session takes a local folder, and a cluster is an error: each of its executors would
+    write to a disk of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"folioweave-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"folioweave-{os.getuid()}")
+
+
+#: A task's share of a scan; fewer files than cores stay as they are where each core has more than this.
+SHARE_BYTES = 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores: a scan with fewer partitions than these (one small file, say) is dealt out anew.
+    """`df` over all cores, where it reads fewer files than there are cores and little of each.
 
-    Larger inputs, and plans that shuffle anyway, stay as they are.
+    A small file is one task, whatever the cores; it is dealt out anew. Larger inputs stay as they are.
     """
-    qe = df._jdf.queryExecution()
-    if re.search("Join|Aggregate|Window|Sort|Exchange|Repartition|Limit", qe.sparkPlan().toString()):
+    spark = df.sparkSession
+    files, want = df.inputFiles(), int(spark.conf.get("spark.default.parallelism", None) or spark.sparkContext.defaultParallelism)
+    if not files or len(files) >= want:
         return df
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if qe.toRdd().getNumPartitions() >= want else df.repartition(want)
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]  # lists the files, reads none
+    return df.repartition(want) if size < want * SHARE_BYTES else df
 
 
 _written: list[tuple[SparkSession, str]] = []
