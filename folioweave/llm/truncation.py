@@ -203,35 +203,45 @@ def _offered(sent):
 
     def run(batches):
         bits = sent.value
+        widths = np.arange(1, TAIL + 1)
         for b in batches:
+            ks, ss, ts = (b.column(n).to_pylist() for n in ("k", "s", "t"))
+            # by source, by beginning and by key: who may have been asked at all
+            names = {s: _name(s) for s in set(ss)}
+            copied = {s: bool(_let(bits, _mixed(np.array([n], np.uint64)))[0]) for s, n in names.items()}
+            short = np.array([copied[s] and bool(t) for s, t in zip(ss, ts)], bool)
+            long = np.zeros(len(ts), bool)
+            at = [i for i, t in enumerate(ts) if t and len(t) > HEAD]
+            if at:
+                head = codes("".join(ts[i][:HEAD] for i in at)).astype(np.uint64).reshape(-1, HEAD)
+                up, _ = _POWERS.to(HEAD)
+                sums = (_mixed((head + np.uint64(1)) * np.uint64(_M)) * up[:HEAD]).sum(1)
+                long[at] = _let(bits, _mixed(sums + np.uint64(HEAD * _M & (1 << 64) - 1)))
+            of = np.array([_name(k) for k in ks], np.uint64)
+            parent = _let(bits, _mixed(of[:, None] + widths.astype(np.uint64)).ravel()).reshape(len(ks), -1)
             hs, more = [], []
-            for k, s, t in zip(*(b.column(n).to_pylist() for n in ("k", "s", "t"))):
+            for i in np.flatnonzero(short | long | parent.any(1)):
+                t = ts[i]
                 if not t:
                     continue
-                salt = _name(s)
-                short = bool(_let(bits, _mixed(np.array([salt], np.uint64)))[0])
-                sums = prefix_sums(t[:HEAD] if not short and len(t) > HEAD else t)
-                long = len(t) > HEAD and bool(_let(bits, prefix_keys(sums, np.array([HEAD])))[0])
-                if long and sums.size <= len(t):
-                    sums = prefix_sums(t)
-                for yes, lo, hi, salt in ((short, 1, min(HEAD, len(t)), salt), (long, HEAD, len(t), 0)):
+                if short[i] or long[i]:
+                    sums = prefix_sums(t if long[i] else t[:HEAD])
+                for yes, lo, hi, salt in ((short[i], 1, min(HEAD, len(t)), names[ss[i]]), (long[i], HEAD, len(t), 0)):
                     if yes and hi > lo:
-                        at = np.arange(lo, hi)
-                        keys = prefix_keys(sums, at, salt)
+                        place = np.arange(lo, hi)
+                        keys = prefix_keys(sums, place, salt)
                         for n in np.flatnonzero(_let(bits, keys)):
-                            rest = t[at[n] : at[n] + 40]
+                            rest = t[place[n] : place[n] + 40]
                             if not _breaks(rest):
                                 hs.append(keys[n])
                                 more.append(rest)
-                of = _name(k)
-                widths = np.arange(1, TAIL + 1)
-                asked = widths[_let(bits, _mixed(np.uint64(of) + widths.astype(np.uint64)))]
+                asked = widths[parent[i]]
                 if asked.size:
                     bare = _bare(t)
                     sums = prefix_sums(bare)
                     for w in asked.tolist():
                         if len(bare) > w:
-                            keys = np.unique(window_keys(sums, np.arange(w, len(bare)), w, of))
+                            keys = np.unique(window_keys(sums, np.arange(w, len(bare)), w, int(of[i])))
                             keys = keys[_let(bits, keys)]
                             hs += list(keys)
                             more += [None] * keys.size
