@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,35 +41,129 @@ def score_list(scores: Column, n: Column) -> Column:
     return F.slice(F.concat(ok, F.array_repeat(F.lit(1), n)), F.lit(1), n)
 
 
-def augment(qa: DataFrame, key: str = "id", question: str = "question", answer: str = "answer", keywords: str = "keywords", templates: dict | None = None) -> DataFrame:
-    """One to four training rows a pair: the question, with keywords, terms to explain, a statement to correct.
+# --- fixed values: texts of augmented rows by script ----------------------------------------------------------------
+TASKS = {
+    "zh": {
+        "orig": "请回答信息检索问题。", "qkw": "请根据问题和关键词给出准确回答。", "term": "请解释下列信息检索术语。", "fix": "判断下面说法是否正确；如果错误，请给出正确表述。",
+        "question": "问题：", "keywords": "关键词：", "right": "该说法不准确。正确表述是：",
+        "no_subject": "不是信息检索中的具体概念，只是普通表达。", "no_meaning": "在信息检索中没有明确含义。", "no_form": "不能被表示为任何结构化形式。", "no_object": "该对象通常无法进行任何形式的表示。",
+    },
+    "en": {
+        "orig": "Please answer the information retrieval question.", "qkw": "Please answer accurately using the question and keywords.",
+        "term": "Please explain the following information retrieval term.",
+        "fix": "Determine whether the following statement is correct. If it is incorrect, provide the correct statement.",
+        "question": "Question: ", "keywords": "Keywords: ", "right": "This statement is inaccurate. The correct statement is: ",
+        "no_subject": " is not an information retrieval concept, but merely a general expression.", "no_subjects": " are not used in information retrieval systems.",
+        "no_meaning": " has no specific meaning in information retrieval.", "no_form": " does not represent any specific concept in this context.",
+        "no_object": "This object does not represent any specific concept in this context.",
+    },
+}
+NO_KEYWORDS = "无"
+# --------------------------------------------------------------------------------------------------------------------
+
+
+def asked_subject(question) -> Column:
+    """What a definition question asks for ('' if it has another form)."""
+    q = tx.collapse(question)
+    zh = F.regexp_extract(q, r"^什么是(.+?)[？?]?$", 1)
+    en = F.regexp_replace(F.regexp_extract(q, r"(?i)^what (?:is|are)\b\s*(.*)$", 1), r"[ ?]+$", "")
+    return F.coalesce(tx.collapse(F.when(q.rlike("[一-鿿]"), zh).otherwise(en)), F.lit(""))
+
+
+def augment(qa: DataFrame, key: str = "id", question: str = "question", answer: str = "answer", keywords: str = "keywords", kind: Column | None = None, system: str = "") -> DataFrame:
+    """Training rows of each pair: the question (orig), with its keywords (qkw), the term that a definition asks for
+    (term), and a wrong statement to correct for definitions and representations (fix).
+
+    kind: the question type; by rule where it is not given. Rows: (id, source_uid, task_type, question_type,
+    instruction, input, output, system). Null questions and answers count as ''.
+    """
+    d = qa.select(F.col(key).alias("uid"), F.coalesce(question, F.lit("")).alias("q"), F.coalesce(answer, F.lit("")).alias("a"), F.coalesce(F.col(keywords), F.array().cast("array<string>")).alias("kw"), (kind if kind is not None else tx.question_type(question)).alias("kind"))
+    han = lambda c: F.col(c).rlike("[一-鿿]")
+    d = d.withColumn("zq", han("q")).withColumn("zh", han("q") | han("a")).withColumn("subject", asked_subject("q")).withColumn("kw1", F.coalesce(F.get("kw", F.lit(0)), F.lit("")))
+
+    def say(what: str, zh: Column) -> Column:
+        return F.when(zh, TASKS["zh"].get(what, "")).otherwise(TASKS["en"].get(what, ""))
+
+    definition, representation = F.col("kind") == "definition", F.col("kind") == "representation"
+    named, plural = F.col("subject") != "", ~F.col("zq") & F.lower("q").rlike(r"^what are\b")
+    denied = F.when(plural, TASKS["en"]["no_subjects"]).otherwise(say("no_subject", F.col("zq")))
+    about = lambda what: F.concat("kw1", say(what, F.col("zq")))
+    keyed = F.col("kw1") != ""
+    wrong = (
+        F.when(definition & named, F.concat("subject", denied)).when(definition & keyed, about("no_meaning"))
+        .when(representation & keyed, about("no_form")).when(representation, say("no_object", F.col("zq")))
+    )
+    # a question of the asking form is answered by its subject alone; keywords stand in for other forms
+    form = F.when(F.col("zq"), F.col("q").rlike(r"^什么是(.+?)[？?]?$")).otherwise(F.lower("q").rlike(r"^what (?:is|are)\b"))
+    term = F.when(form, F.col("subject")).otherwise(tx.collapse("kw1"))
+    words = F.when(F.size("kw") > 0, F.array_join("kw", ", ")).otherwise(NO_KEYWORDS)
+    zf = F.col("zh") | wrong.rlike("[一-鿿]")
+
+    def row(mark: str, task: str, zh: Column, text: Column, output: Column, when: Column) -> Column:
+        r = F.struct(F.lit(mark).alias("mark"), F.lit(task).alias("task_type"), say(mark, zh).alias("instruction"), text.alias("input"), output.alias("output"))
+        return F.when(F.coalesce(when, F.lit(False)), r)
+
+    rows = F.array(
+        row("orig", "qa", F.col("zh"), F.col("q"), F.col("a"), F.lit(True)),
+        row("qkw", "qa_with_keywords", F.col("zh"), F.concat(say("question", F.col("zh")), F.col("q"), F.lit("\n"), say("keywords", F.col("zh")), words), F.col("a"), F.lit(True)),
+        row("term", "term_explanation", F.col("zq"), term, F.col("a"), definition & (term != "")),
+        row("fix", "error_correction", zf, wrong, F.concat(say("right", zf), F.col("a")), wrong.isNotNull()),
+    )
+    x = d.select("uid", "kind", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
+    return x.select(
+        F.concat_ws("_", F.col("uid").cast("string"), "r.mark").alias("id"), F.col("uid").alias("source_uid"), "r.task_type", F.col("kind").alias("question_type"), "r.instruction", "r.input", "r.output", F.lit(system).alias("system")
+    )
+
+
+def master_rows(augmented: DataFrame, order: str = "id") -> DataFrame:
+    """One row an id: the first by all other columns where an id comes several times."""
+    rest = [c for c in augmented.columns if c != order]
+    return augmented.groupBy(order).agg(F.min(F.struct(*rest)).alias("_r")).select(order, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def as_alpaca(rows: DataFrame) -> DataFrame:
+    """Only instruction, input, output and system."""
+    return rows.select("instruction", "input", "output", "system")
+
+
+def final_pairs(qa: DataFrame, paraphrases: DataFrame) -> DataFrame:
+    """(source_uid, unique_id, question, answer): each pair under its own question and under each of its paraphrases.
+
+    paraphrases: (source_uid, questions: array). Paraphrases equal to the question or to an earlier one, by lower
+    case, are left out; the pair itself is number 0.
+    """
+    p = qa.join(paraphrases, "source_uid", "left").withColumn("_all", F.concat(F.array("question"), F.coalesce("questions", F.array().cast("array<string>"))))
+    flat = F.transform("_all", tx.collapse)
+    low = F.transform(flat, F.lower)
+    keep = F.filter(F.transform(flat, lambda x, i: F.struct(i.alias("i"), x.alias("q"))), lambda s: (s["q"] != "") & (F.array_position(low, F.lower(s["q"])) == s["i"] + 1))
+    d = p.select("source_uid", "answer", F.posexplode(keep).alias("place", "s"))
+    return d.select("source_uid", F.concat_ws("#", "source_uid", F.col("place").cast("string")).alias("unique_id"), F.col("s.q").alias("question"), "answer")
+
 
-    templates: by language (zh, en) the instructions and joints of each task.
+def question_sources(questions: DataFrame, docs: DataFrame, uid: str = "uid", question: str = "question") -> DataFrame:
+    """(question, uid, parent): the document that a question came from, and its parent.
+
+    questions: (question, source_uid), source_uid being a document's uid, before '#' where it has a position. Of equal
+    questions, by lower case and single blanks, the smallest uid counts. docs: (uid, parent_id).
     """
-    tp = templates or {
-        "en": {"qa": "Answer the question.", "kw": "Answer the question with the keywords.", "joint": " Keywords: ", "term": "Explain the terms.", "fix": "Correct the statement."},
-        "zh": {"qa": "请回答问题。", "kw": "请结合关键词回答问题。", "joint": " 关键词：", "term": "请解释术语。", "fix": "请改正说法。"},
-    }
-    zh = tx.script_language(question) == "zh"
+    q = questions.select(F.lower(tx.collapse(question)).alias("question"), F.split_part("source_uid", F.lit("#"), F.lit(1)).alias("uid")).where("question <> ''")
+    q = q.groupBy("question").agg(F.min("uid").alias("uid"))
+    d = docs.select(F.col(uid).alias("uid"), F.coalesce("parent_id", F.col(uid)).alias("parent"))
+    return q.join(d, "uid", "left").select("question", "uid", "parent")
 
-    def say(k: str) -> Column:
-        return F.when(zh, tp["zh"][k]).otherwise(tp["en"][k])
 
-    kw = F.coalesce(F.col(keywords), F.array().cast("array<string>"))
-    some = F.size(kw) > 0
+def not_yet_asked(todo: DataFrame, done: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows that neither their key nor, where finished rows lost it, their text shows as done."""
+    rest = todo.join(done.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+    said = done.where(F.col(key).isNull()).select(F.lower(tx.collapse(text)).alias("_t")).distinct()
+    return rest.withColumn("_t", F.lower(tx.collapse(text))).join(said, "_t", "left_anti").drop("_t")
 
-    def row(task: str, ins: str, text: Column, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(task).alias("task_type"), say(ins).alias("instruction"), text.alias("input")))
 
-    joined = F.array_join(kw, ", ")
-    rows = F.array(
-        row("qa", "qa", F.col(question), F.lit(True)),
-        row("qa_with_keywords", "kw", F.concat(F.col(question), say("joint"), joined), some),
-        row("term_explanation", "term", joined, some),
-        row("error_correction", "fix", F.col(answer), F.length(answer) > 40),
-    )
-    d = qa.select(key, F.col(question).alias("_q"), F.col(answer).alias("output"), F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
-    return d.select(F.concat_ws(":", key, "r.task_type").alias("id"), F.col(key).alias("source_uid"), "r.task_type", "r.instruction", "r.input", "output")
+def pad_list(items, n: int) -> Column:
+    """An array filled up with its own elements in turn, or cut, to n; an empty one stays empty."""
+    x = F.col(items) if isinstance(items, str) else items
+    times = F.ceil(F.lit(n) / F.greatest(F.size(x), F.lit(1))).cast("int")
+    return F.when(F.size(x) > 0, F.slice(F.flatten(F.array_repeat(x, times)), 1, n)).otherwise(x)
 
 
 def with_negatives(base: DataFrame, negatives: DataFrame, instruction: str, reply: str, seed: int = 0) -> DataFrame:
@@ -111,33 +204,51 @@ def split_exact(rows: DataFrame, key: str, share: float, seed: int = 0, least: i
     return d.withColumn("split", F.when(train, "train").otherwise("test")).drop("_h", "_b")
 
 
-def split_groups(rows: DataFrame, group: str, share: float = 0.9, trials: int = 300, seed: int = 0, small: int = 12, most_groups: int = 200_000) -> DataFrame:
-    """Whole groups to train or test, so that rows, groups and small groups are near `share`.
+# --- fixed values of the search for a balanced split: rounds, size of a small group, weight of too many of them -------
+ROUNDS_A_GROUP, LEAST_ROUNDS, MOST_ROUNDS, SMALL, SMALL_WEIGHT = 30, 300, 3000, 12, 2.0
+# ----------------------------------------------------------------------------------------------------------------------
+
+
+def balanced_choice(sizes: list[int], share: float, seed: int = 0) -> tuple[list[int], float]:
+    """(places of the chosen groups, score): of many random orders the one whose leading groups are nearest to `share` of
+    rows and groups without more small groups than all have.
+
+    The score adds the distances in rows and in groups, as parts of what is wanted, and the excess of small groups.
+    Every order is cut where its running size is nearest to the wanted one; all orders of a round are arrays.
+    """
+    n = np.array(sizes, np.int64)
+    if not n.size:
+        return [], 0.0
+    total = int(n.sum())
+    rows = min(max(int(round(total * share)), 1 if share > 0 and total > 1 else 0), max(1, total - 1))
+    groups = min(max(1, round(n.size * share)), max(1, n.size - 1)) if share > 0 else 0
+    small = n <= SMALL
+    rng, best = np.random.default_rng(seed), (np.inf, [])
+    for _ in range(min(MOST_ROUNDS, max(LEAST_ROUNDS, n.size * ROUNDS_A_GROUP))):
+        order = rng.permutation(n.size)
+        k = int(np.abs(np.cumsum(n[order]) - rows).argmin()) + 1
+        chosen = order[:k]
+        excess = max(0.0, small[chosen].mean() - small.mean())
+        score = abs(int(n[chosen].sum()) - rows) / max(rows, 1) + abs(k - groups) / max(groups, 1) + SMALL_WEIGHT * excess
+        if score < best[0]:
+            best = (score, chosen.tolist())
+    return best[1], float(best[0])
+
+
+def split_groups(rows: DataFrame, group: str, share: float = 0.9, seed: int = 0, most_groups: int = 50_000) -> DataFrame:
+    """Whole groups to train or test, so that rows, groups and small groups are near `share`; a null group is one.
 
     Only group sizes come to the driver, `most_groups` at most; beyond that groups go by their hash, which at such
     numbers is as balanced.
     """
     g = rows.groupBy(group).agg(F.count("*").alias("n"))
-    if g.count() > most_groups:
+    if g.limit(most_groups + 1).count() > most_groups:
         return split_by_hash(rows, group, share, seed)
     sizes = [(r[0], r[1]) for r in g.orderBy(group).collect()]
-    rng = random.Random(seed)
-    total, best = sum(n for _, n in sizes), (float("inf"), frozenset())
-    smalls = sum(n <= small for _, n in sizes)
-    for _ in range(trials):
-        order = sizes[:]
-        rng.shuffle(order)
-        test, have = [], 0
-        for k, n in order:
-            if have + n <= (1 - share) * total:
-                test.append((k, n))
-                have += n
-        excess = abs(sum(n <= small for _, n in test) / max(len(test), 1) - smalls / max(len(sizes), 1))
-        score = abs(have - (1 - share) * total) / max(total, 1) + 0.5 * abs(len(test) - (1 - share) * len(sizes)) / max(len(sizes), 1) + 2 * excess
-        if score < best[0]:
-            best = (score, frozenset(k for k, _ in test))
-    chosen = rows.sparkSession.createDataFrame([(k,) for k in best[1] if k is not None], f"{group} {rows.schema[group].dataType.simpleString()}")
-    return rows.join(F.broadcast(chosen.withColumn("_t", F.lit(1))), group, "left").withColumn("split", F.when(F.col("_t") == 1, "test").otherwise("train")).drop("_t")
+    chosen, _ = balanced_choice([n for _, n in sizes], 1 - share, seed)
+    kind = rows.schema[group].dataType.simpleString()
+    test = rows.sparkSession.createDataFrame([(sizes[i][0], 1) for i in chosen], f"_g {kind}, _t int")
+    return rows.join(F.broadcast(test), F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("split", F.when(F.col("_t") == 1, "test").otherwise("train")).drop("_t", "_g")
 
 
 def rank_labels(judged: DataFrame, gold: DataFrame) -> DataFrame:
@@ -196,16 +307,12 @@ def corpus_of(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def batches(rows: DataFrame, size: int, order: list, drop_last: bool = True) -> DataFrame:
-    """`rows` with batch: fixed-size batches in order. A range sort and counts by partition make the places, so
-    no task sees all rows."""
-    s = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
-    counts = s.groupBy("_p").agg(F.count("*").alias("c"))
-    base = counts.select("_p", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    total = counts.agg(F.sum("c").alias("t"))
-    d = s.join(F.broadcast(base), "_p").withColumn("_g", F.col("b") + F.col("_i")).withColumn("batch", F.floor(F.col("_g") / size))
+    """`rows` with batch: fixed-size batches in order, made of places that no task counts alone."""
+    d = fusion.numbered(rows, order, "_g").withColumn("batch", F.floor(F.col("_g") / size))
     if drop_last:
-        d = d.join(F.broadcast(total)).where((F.col("batch") + 1) * size <= F.col("t")).drop("t")
-    return d.drop("_p", "_i", "b", "_g")
+        total = rows.agg(F.count("*").alias("_t"))
+        d = d.join(F.broadcast(total)).where((F.col("batch") + 1) * size <= F.col("_t")).drop("_t")
+    return d.drop("_g")
 
 
 def few_shot(rows: DataFrame, n: int, by: str, key: str, seed: int = 0) -> DataFrame:

@@ -136,28 +136,49 @@ def supervised(rows: DataFrame, prompt: str, response: str, cutoff: int, tokens=
     return d.select(*rows.columns, ids.alias("input_ids"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"), F.concat(lab, r).alias("labels"))
 
 
+def fill_packs(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Places of `lengths` by pack: each pack takes the longest sequence that still fits, again and again.
+
+    Sequences wait in one list a length. `longest[r]` is the greatest length of at most r that still has any; it is
+    found by following links to shorter lengths, which are shortened on the way. Lengths over the capacity, and those
+    under 1, are left out; of equal lengths the last one goes first.
+    """
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for place, n in enumerate(lengths):
+        if 0 < n <= capacity:
+            waiting[n].append(place)
+    link = list(range(capacity + 1))
+
+    def longest(room: int) -> int:
+        seen = []
+        while room and not waiting[room]:
+            seen.append(room)
+            room = link[room] if link[room] != room else room - 1
+        for r in seen:
+            link[r] = room
+        return room
+
+    packs = []
+    while longest(capacity):
+        pack, room = [], capacity
+        while (n := longest(room)) > 0:
+            pack.append(waiting[n].pop())
+            room -= n
+        packs.append(pack)
+    return packs
+
+
 def pack_greedy(rows: DataFrame, batch: str, key: str, length: str, cutoff: int) -> DataFrame:
-    """(batch, key, pack, place): sequences of a batch to packs of at most `cutoff`, largest fitting first.
+    """(batch, key, pack, place): sequences of a batch to packs of at most `cutoff`, longest fitting first.
 
     A batch is one group and must be bounded by its maker (a thousand rows, say); sequences over `cutoff` are left out.
     """
     kb, kk = rows.schema[batch].dataType.simpleString(), rows.schema[key].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
-        pool = sorted((int(n), k) for n, k in zip(pdf["n"], pdf["k"]) if 0 < n <= cutoff)
-        out, pack = [], 0
-        while pool:
-            room, place = cutoff, 0
-            while pool:
-                i = bisect.bisect_right(pool, room, key=lambda x: x[0]) - 1
-                if i < 0:
-                    break
-                n, k = pool.pop(i)
-                out.append((pdf["b"].iloc[0], k, pack, place))
-                room, place = room - n, place + 1
-            pack += 1
+        pdf = pdf.sort_values("k", kind="stable")
+        packs = fill_packs([int(n) for n in pdf["n"]], cutoff)
+        out = [(pdf["b"].iloc[0], pdf["k"].iloc[i], p, place) for p, pack in enumerate(packs) for place, i in enumerate(pack)]
         return pd.DataFrame(out, columns=["batch", "key", "pack", "place"])
 
     d = rows.select(F.col(batch).alias("b"), F.col(key).alias("k"), F.col(length).alias("n"))
@@ -220,12 +241,17 @@ def resample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def interleave(sets: list[DataFrame], weights: list[float], key: str, seed: int = 0, stop: str = "first") -> DataFrame:
-    """Datasets in turn at their rates: place = rank/weight. stop: 'first' ends when one set runs out, 'all' when all have."""
+    """Datasets in turn at their rates: place = rank/weight. stop: 'first' ends when one set runs out, 'all' when all have.
+
+    Ranks in hash order are made over ranges of rows, so no task counts a whole set.
+    """
+    from ..functions.text import hash_order
+    from .fusion import numbered
+
     both, ends = None, []
     for i, (d, w) in enumerate(zip(sets, weights)):
-        from ..functions.text import hash_order
-
-        p = d.withColumn("part", F.lit(i)).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(hash_order(key, seed=seed), key)) / w)
+        h = d.withColumn("part", F.lit(i)).withColumn("_h", hash_order(key, seed=seed))
+        p = numbered(h, ["_h", key], "_r").withColumn("place", (F.col("_r") + 1) / w).drop("_h", "_r")
         ends.append(p.agg(F.max("place")).first()[0] or 0.0)
         both = p if both is None else both.unionByName(p)
     return both.where(F.col("place") <= min(ends)) if stop == "first" else both
@@ -236,3 +262,61 @@ def mismatched(rows: DataFrame, batch: str, order: str, response: str) -> DataFr
     w = Window.partitionBy(batch).orderBy(order)
     last = F.last(response).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return rows.withColumn("other", F.coalesce(F.lag(response).over(w), last))
+
+
+def unsupervised(rows: DataFrame, prompt: str, response: str, cutoff: int, tokens=byte_tokens, eos: int = 256) -> DataFrame:
+    """`rows` with input_ids (the prompt) and labels (the answer that would follow), both cut to the budget: for generation."""
+    d = rows.withColumn("_p", tokens(F.col(prompt))).withColumn("_r", F.concat(tokens(F.col(response)), F.array(F.lit(eos))))
+    d = d.withColumn("_b", budget(F.size("_p"), F.size("_r"), cutoff))
+    ids, lab = F.slice("_p", F.lit(1), F.col("_b.source").cast("int")), F.slice("_r", F.lit(1), F.col("_b.target").cast("int"))
+    return d.select(*rows.columns, ids.alias("input_ids"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"), lab.alias("labels"))
+
+
+def preference(rows: DataFrame, prompt: str, chosen: str, rejected: str, cutoff: int, tokens=byte_tokens, eos: int = 256) -> DataFrame:
+    """`rows` with chosen and rejected input_ids and labels: one prompt, cut with the longer answer, masked in both."""
+    d = rows.withColumn("_p", tokens(F.col(prompt)))
+    for c, n in ((chosen, "_c"), (rejected, "_j")):
+        d = d.withColumn(n, F.concat(tokens(F.col(c)), F.array(F.lit(eos))))
+    d = d.withColumn("_b", budget(F.size("_p"), F.greatest(F.size("_c"), F.size("_j")), cutoff))
+    p = F.slice("_p", F.lit(1), F.col("_b.source").cast("int"))
+    out = []
+    for n, name in (("_c", "chosen"), ("_j", "rejected")):
+        r = F.slice(n, F.lit(1), F.col("_b.target").cast("int"))
+        out += [F.concat(p, r).alias(f"{name}_input_ids"), F.concat(F.array_repeat(F.lit(IGNORE), F.size(p)), r).alias(f"{name}_labels")]
+    return d.select(*rows.columns, *out)
+
+
+def feedback(rows: DataFrame, prompt: str, response: str, good: str, other: str, cutoff: int, tokens=byte_tokens, eos: int = 256) -> DataFrame:
+    """`rows` encoded with their response, the same with a mismatched one (kl_ columns), and whether the response was wanted."""
+    own = supervised(rows, prompt, response, cutoff, tokens, eos=eos)
+    kl = supervised(own.withColumnsRenamed({c: f"_{c}" for c in ("input_ids", "attention_mask", "labels")}), prompt, other, cutoff, tokens, eos=eos)
+    kl = kl.withColumnsRenamed({c: f"kl_{c}" for c in ("input_ids", "attention_mask", "labels")}).withColumnsRenamed({f"_{c}": c for c in ("input_ids", "attention_mask", "labels")})
+    return kl.withColumn("kto_tags", F.coalesce(F.col(good), F.lit(False)))
+
+
+def truncated_turns(messages, tokens_of, cutoff: int) -> Column:
+    """The leading messages whose tokens together are at most `cutoff`; tokens_of: a message to its number of tokens."""
+    sizes = F.transform(messages, tokens_of)
+    upto = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+    return F.slice(messages, F.lit(1), F.size(F.filter(upto, lambda n: n <= cutoff)))
+
+
+def few_shot_prompt(examples, question, subject, letters: tuple = ("A", "B", "C", "D")) -> Column:
+    """Examples (array of struct question, choices, answer) and a question without its answer as turns: a system line on
+    the subject, then questions and answers."""
+    ask = lambda e: F.concat(e["question"], F.array_join(F.transform(e["choices"], lambda c, i: F.concat(F.lit("\n"), F.element_at(F.array(*[F.lit(x) for x in letters]), i + 1), F.lit(". "), c)), ""), F.lit("\nAnswer:"))
+    shots = F.flatten(F.transform(examples, lambda e: F.array(_msg("user", ask(e)), _msg("assistant", e["answer"]))))
+    system = _msg("system", F.concat(F.lit("The following are multiple choice questions (with answers) about "), subject, F.lit(".\n\n")))
+    return F.concat(F.array(system), shots, F.array(_msg("user", ask(question))))
+
+
+def tool_call(text) -> Column:
+    """struct(name, arguments) of an answer in the form 'Action: name / Action Input: {json}'; null if it has none."""
+    name = F.trim(F.regexp_extract(text, r"(?s)Action:\s*([a-zA-Z0-9_]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)", 1))
+    args = F.trim(F.regexp_extract(text, r"(?s)Action:\s*([a-zA-Z0-9_]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)", 2))
+    return F.when((name != "") & F.get_json_object(args, "$").isNotNull(), F.struct(name.alias("name"), args.alias("arguments")))
+
+
+def tool_text(name, arguments) -> Column:
+    """The same, as text."""
+    return F.concat(F.lit("Action: "), name, F.lit("\nAction Input: "), arguments)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 
 def first_of(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key in `order`; null keys form a key of their own."""
@@ -78,9 +80,57 @@ def jaccard(a, b) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(F.lit(0.0))
 
 
+def in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """`df` written in `order`, with _p (range) and _i (place in it): what running sums over all rows start from.
+
+    A range sort deals the rows out; it is written once, as its limits are sampled and must not change between uses.
+    """
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(d.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)), "ranges")
+
+
+def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """`df` with the place of each row in `order`, from 0. No task sees all rows; only counts by range are summed in one."""
+    s = in_ranges(df, order)
+    counts = s.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))  # a row a range
+    return s.join(F.broadcast(base), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+def carried(df: DataFrame, order: list, begins, name: str, need: list) -> DataFrame:
+    """`df` with `name`: how many rows up to and with each one begin something new, in `order`, the first one not counted.
+
+    begins: a function that gets `prev` (from a column's name, one of `need`, to its value in the row before) and returns
+    a boolean column. Ranges are summed apart; the row before a range's first one, and sums of ranges, are carried over.
+    """
+    s = in_ranges(df, order)
+    w = Window.partitionBy("_p").orderBy("_i")
+    ends = s.groupBy("_p").agg(F.max_by(F.struct(*need), "_i").alias("_last"))
+    over = Window.orderBy("_p")
+    carry = ends.select("_p", F.lag("_last").over(over).alias("_before"))  # a row a range
+    d = s.join(F.broadcast(carry), "_p").withColumn("_one", F.row_number().over(w) == 1).withColumn("_prev", F.when(F.col("_one"), F.col("_before")).otherwise(F.lag(F.struct(*need)).over(w)))
+    new = F.when(F.col("_prev").isNull(), 0).otherwise(begins(lambda c: F.col("_prev")[c]).cast("int"))
+    d = d.withColumn("_new", new).withColumn("_sum", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = d.groupBy("_p").agg(F.sum("_new").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return d.join(F.broadcast(sums), "_p").select(*df.columns, (F.col("_base") + F.col("_sum")).alias(name))
+
+
 def islands(df: DataFrame, order: list, keys: list, partition: list | None = None) -> DataFrame:
-    """`df` with island: a number that grows whenever the keys differ from those of the row before."""
-    w = Window.partitionBy(*partition).orderBy(*order) if partition else Window.orderBy(*order)
+    """`df` with island: a number that grows whenever the keys differ from those of the row before.
+
+    With `partition` islands are numbered in each of its groups, else over all rows, in ranges.
+    """
+    if not partition:
+
+        def differs(prev) -> Column:
+            out = F.lit(False)
+            for k in keys:
+                out = out | ~F.col(k).eqNullSafe(prev(k))
+            return out
+
+        return carried(df, order, differs, "island", keys)
+    w = Window.partitionBy(*partition).orderBy(*order)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.lag(k).over(w))

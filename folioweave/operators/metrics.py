@@ -147,26 +147,53 @@ def text_scores(gold: pd.Series, said: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rouge_1", "rouge_2", "rouge_l", "bleu"], dtype="float64")
 
 
-def answer_status(gold_none, said_none) -> Column:
-    """Outcome of an answer where both sides may say that there is none."""
+def answer_status(gold, said, normal=tx.comparable) -> Column:
+    """Outcome of an answer: the same text, or who of both says that there is no answer (fixed names)."""
+    g, s = tx.is_no_answer(gold), tx.is_no_answer(said)
     return (
-        F.when(gold_none & said_none, "correct_no_answer").when(gold_none, "false_answer").when(said_none, "missed_answer").otherwise("answered")
-    )
+        F.when(exact_match(gold, said, normal) == 1, "exact_match").when(g & s, "correct_no_answer").when(g, "missed_no_answer").when(s, "false_no_answer")
+        .otherwise("content_mismatch")
+    )
 
 
-def prediction_report(rows: DataFrame, status: str = "status", f1: str = "f1", rouge: str = "rouge_l") -> DataFrame:
-    """One row of counts, means and population deviations."""
-    answered = F.col(status) == "answered"
+def prediction_report(rows: DataFrame, gold: str = "gold", said: str = "said", f1: str = "f1", rouge: str = "rouge_l") -> DataFrame:
+    """One row of means, counts and deviations over predictions; answerable rows are those whose gold text is an answer."""
+    g, s = tx.is_no_answer(gold), tx.is_no_answer(said)
+    same = exact_match(gold, said)
+    mean = lambda x, d=6: F.round(F.coalesce(F.avg(x), F.lit(0.0)), d)
     return rows.agg(
-        F.count("*").alias("samples"),
-        F.sum(answered.cast("int")).alias("answered"),
-        F.sum((F.col(status) == "false_answer").cast("int")).alias("false_answers"),
-        F.sum((F.col(status) == "missed_answer").cast("int")).alias("missed_answers"),
-        F.round(F.avg(f1), 6).alias("mean_f1"),
-        F.round(F.avg(rouge), 6).alias("mean_rouge_l"),
-        F.round(F.avg(F.when(answered, F.col(f1))), 6).alias("mean_f1_answered"),
-        F.round(F.coalesce(F.stddev_pop(f1), F.lit(0.0)), 6).alias("std_f1"),
-    )
+        F.count("*").alias("sample_count"), F.count_if(~g).alias("answerable_count"), F.count_if(g).alias("unanswerable_count"), mean(same).alias("exact_match"),
+        mean(F.col(f1)).alias("token_f1"), mean(F.col(rouge)).alias("rouge_l_f1"), mean((g == s).cast("int")).alias("no_answer_accuracy"),
+        mean(F.when(~g, F.col(f1))).alias("avg_token_f1_answerable"), mean(F.when(g, F.col(f1))).alias("avg_token_f1_unanswerable"),
+        F.count_if(~g & s).alias("false_no_answer_count"), F.count_if(g & ~s).alias("missed_no_answer_count"), F.sum(same).alias("exact_match_count"),
+        F.round(F.coalesce(F.stddev_pop(f1), F.lit(0.0)), 6).alias("token_f1_std"),
+    )
+
+
+def extreme_cases(rows: DataFrame, by: tuple, n: int, key: str, best: bool = False) -> DataFrame:
+    """The n worst (or best) rows by the columns `by`, ties by key; a top-k, so no task sorts all rows."""
+    order = [F.desc(c) if best else F.asc(c) for c in by]
+    return rows.orderBy(*order, key).limit(n)
+
+
+def score_by_class(rows: DataFrame, classes: Column, scores: tuple) -> DataFrame:
+    """(class, n, mean of each score): a row counts in every class of the array `classes`."""
+    return rows.select(F.explode(classes).alias("class"), *scores).groupBy("class").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in scores])
+
+
+def span_classes(place, edges: tuple = (100, 200, 300, 400, 500)) -> Column:
+    """Names of the position spans that hold `place`: (previous edge, edge], and 'edge+' beyond the last."""
+    lows = (0, *edges[:-1])
+    names = [F.when((place >= lo) & (place < hi), f"{lo}-{hi}") for lo, hi in zip(lows, edges)] + [F.when(place >= edges[-1], f"{edges[-1]}+")]
+    return F.filter(F.array(*names), lambda x: x.isNotNull())
+
+
+def segment_cosines(segments: DataFrame, whole: DataFrame, key: str = "doc", place: str = "place", vector: str = "vec") -> DataFrame:
+    """(place, n, cosine): mean cosine of the segments at each place of their texts with the vectors of the whole texts."""
+    from ..functions import vectors as vx
+
+    j = segments.join(whole.select(key, F.col(vector).alias("_w")), key)
+    return j.groupBy(place).agg(F.count("*").alias("n"), F.round(F.avg(vx.cosine(vector, "_w")), 6).alias("cosine"))
 
 
 def length_cdf(rows: DataFrame, length: Column, step: int) -> DataFrame:

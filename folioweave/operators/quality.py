@@ -1,4 +1,4 @@
-"""Routing of passages by quality: one cascade of expressions, with its counters."""
+"""Routing of passages by quality: rules in order as one table of conditions, its counters, and what is asked again."""
 
 from __future__ import annotations
 
@@ -7,44 +7,73 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Order of labels from worst to best; a fixed value.
+# --- fixed values: labels from worst to best, names of routes and reasons, limits --------------------------------
 LABELS = ("drop", "extra", "core")
+CORE_WORDS, CORE_SENTENCES, EXTRA_WORDS, EXTRA_SENTENCES, MOST_NOISE = 50, 2, 8, 2, 0.08
+SHORT_CORE_WORDS, LONG_DROP_WORDS = 35, 18
+FALLBACK = "llm_error_fallback_extra"
+# ------------------------------------------------------------------------------------------------------------------
 
 
-def quality_route(text, has_figure: Column, most_noise: float = 0.08) -> Column:
-    """struct(route, reason) of a passage: drop, core, extra or ask, by the first rule that holds."""
+def passage_flags(text, has_figure: Column) -> dict[str, Column]:
+    """What the rules rest on, by name."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    n = tx.chunk_count(t)
-    broken = tx.starts_incomplete(t) & tx.ends_incomplete(t)
-    good = tx.high_value(t)
-
-    def out(route: str, reason: str) -> Column:
-        return F.struct(F.lit(route).alias("route"), F.lit(reason).alias("reason"))
-
-    return (
-        F.when(tx.collapse(t) == "", out("drop", "empty"))
-        .when(tx.noise_share(t) > most_noise, out("drop", "too_noisy"))
-        .when(tx.low_information(t), out("drop", "low_information"))
-        .when(broken, out("drop", "incomplete_both_ends"))
-        .when(tx.is_exercise(t), out("drop", "exercise"))
-        .when(tx.is_caption(t) | tx.needs_figure(t, has_figure), out("drop", "figure"))
-        .when(good & tx.core_knowledge(t) & (n >= 60) & ~tx.starts_incomplete(t), out("core", "core_rule"))
-        .when(good & (n >= 8) & (n < 30) & ~tx.is_steps(t), out("extra", "extra_rule"))
-        .when(good, out("ask", "need_llm_valuable"))
-        .otherwise(out("ask", "need_llm"))
-    )
+    return {
+        "words": tx.chunk_count(t), "sentences": F.size(tx.simple_sentences(t)), "noise": tx.noise_share(tx.collapse(t)), "high_value": tx.high_value(t),
+        "caption": tx.is_caption(t), "exercise": tx.is_exercise(t), "steps": tx.is_steps(t), "needs_figure": tx.needs_figure(t, has_figure),
+        "starts_incomplete": tx.starts_incomplete(t), "ends_incomplete": tx.ends_incomplete(t), "knowledge": tx.core_knowledge(t),
+        "low_information": tx.low_information(t), "empty": tx.collapse(t) == "",
+    }
+
+
+def quality_route(text, has_figure: Column) -> Column:
+    """struct(route, reason) of a passage by the first rule that holds; need_llm where none decides. Null is empty."""
+    f = passage_flags(text, has_figure)
+    whole = ~f["steps"] & ~f["starts_incomplete"]
+    rules = (
+        ("drop", "empty", f["empty"]),
+        ("drop", "too_noisy", f["noise"] > MOST_NOISE),
+        ("drop", "low_information", f["low_information"]),
+        ("drop", "incomplete_both_ends", f["starts_incomplete"] & f["ends_incomplete"]),
+        ("drop", "exercise_or_question_block", f["exercise"]),
+        ("drop", "caption_or_strong_figure_dependency", f["needs_figure"]),
+        ("core_rule", "rule_high_quality", whole & f["knowledge"] & (f["words"] >= CORE_WORDS) & (f["sentences"] >= CORE_SENTENCES)),
+        ("extra_rule", "rule_short_but_complete", whole & f["high_value"] & (f["words"] >= EXTRA_WORDS) & (f["words"] < CORE_WORDS) & (f["sentences"] <= EXTRA_SENTENCES)),
+        ("need_llm", "borderline_high_value", f["high_value"] & (f["words"] >= EXTRA_WORDS)),
+        ("need_llm", "borderline", F.lit(True)),
+    )
+    out = F
+    for route, reason, holds in rules:
+        out = out.when(holds, F.struct(F.lit(route).alias("route"), F.lit(reason).alias("reason")))
+    return out
 
 
 def with_quality(docs: DataFrame, text: str, has_figure: Column | None = None) -> DataFrame:
     """`docs` with route, reason and the flags they rest on."""
     fig = has_figure if has_figure is not None else F.lit(False)
+    f = passage_flags(text, fig)
     return docs.withColumn("q", quality_route(text, fig)).select(
-        *docs.columns, "q.route", "q.reason",
-        tx.starts_incomplete(text).alias("starts_incomplete"), tx.ends_incomplete(text).alias("ends_incomplete"),
-        tx.high_value(text).alias("high_value"), tx.is_steps(text).alias("steps"), F.round(tx.noise_share(text), 6).alias("noise"),
+        *docs.columns, "q.route", "q.reason", *[f[c].alias(c) for c in ("starts_incomplete", "ends_incomplete", "high_value", "steps")], F.round(f["noise"], 6).alias("noise"),
     )
 
 
+def asks_again(text, label, route_reason, reason, has_figure: Column) -> Column:
+    """Whether a judged label should be judged once more: a label that its own passage speaks against."""
+    f = passage_flags(text, has_figure)
+    spoilt = f["exercise"] | f["needs_figure"]
+    thin = (label == "core") & ((f["words"] < SHORT_CORE_WORDS) | (f["sentences"] <= 1))
+    lost = (label == "drop") & f["high_value"] & (f["words"] >= LONG_DROP_WORDS)
+    vague = (label == "core") & (route_reason == "borderline_high_value") & ~f["knowledge"]
+    return F.coalesce(F.when(spoilt, label != "drop").otherwise(thin | lost | vague), F.lit(False))
+
+
+def judged_label(label, reason) -> Column:
+    """struct(label, reason) of a model's answer; an unknown or missing label is extra with the reason of a fallback."""
+    known = F.coalesce(label.isin(*LABELS), F.lit(False))
+    wrong = F.concat(F.lit(f"{FALLBACK}:invalid_label:"), F.coalesce(label, F.lit("None")))
+    return F.struct(F.when(known, label).otherwise("extra").alias("label"), F.when(known, F.coalesce(reason, F.lit("unknown"))).otherwise(wrong).alias("reason"))
+
+
 def stricter(a, b) -> Column:
     """The worse of two labels; an unknown label counts as drop."""
     rank = F.create_map(*[F.lit(x) for i, n in enumerate(LABELS) for x in (n, i)])
@@ -54,3 +83,12 @@ def stricter(a, b) -> Column:
 
 def route_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("route", "reason").agg(F.count("*").alias("n"))
+
+
+def unfit_documents(docs: DataFrame, text: str, marks: tuple = (), most: int = 128_000) -> DataFrame:
+    """Documents with content, without any of the marks of failed extraction, cut to `most` characters as a model takes them."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    bad = F.lit(False)
+    for m in marks:
+        bad = bad | F.contains(t, F.lit(m))
+    return docs.where((F.trim(t) != "") & ~bad).withColumn(text, F.substring(t, 1, most))

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import chunking, datasets, finetune, fusion, layout, losses, metrics, quality, scorers, search
-from ..session import materialize, table
+from ..operators import datasets, finetune, fusion, layout, losses, metrics, scorers, search
+from ..session import table
 from ..streaming import jobs
 
 FLAGSHIP = "bm25_eval_questions"
@@ -155,7 +155,7 @@ def json_properties(spark, d):
 
 
 # --- text functions and rules -----------------------------------------------------------------------------------
-@query(f"SELECT doc_id, md5({_collapse('text')}) AS collapsed, md5(lower({_collapse("regexp_replace(text, '<[^>]+>', '', 'g')")})) AS comparable FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, md5({_collapse('text')}) AS collapsed, md5(lower({_collapse("regexp_replace(text, '<[^>]+>', ' ', 'g')")})) AS comparable FROM documents WHERE text IS NOT NULL")
 def normalised_texts(spark, d):
     x = table(spark, d, "documents").where("text is not null")
     return x.select("doc_id", F.md5(tx.collapse("text")).alias("collapsed"), F.md5(tx.comparable("text")).alias("comparable"))
@@ -173,40 +173,6 @@ def language_routes(spark, d):
 
 
 _X = _collapse("coalesce(text, '')")
-_CN = f"len(regexp_extract_all({_X}, '[^ ]+'))"
-_HIGH = "(" + " OR ".join(f"contains(lower({_X}), '{w}')" for w in tx.HIGH_VALUE_TERMS) + f" OR (regexp_matches(lower({_X}), '\\b(is|are|refers to|defined as|means|consists of|can be)\\b') AND {_CN} >= 8))"
-_START = f"({_X} = '' OR regexp_matches({_X}, '^[.,;:)]') OR regexp_matches(lower(substr({_X}, 1, 80)), '^({tx.INCOMPLETE_STARTS})'))"
-_END = f"({_X} = '' OR (NOT regexp_matches({_X}, '[.!?]$') AND (regexp_matches({_X}, '[,:;(-]$') OR regexp_matches(lower(right({_X}, 30)), '(^|[^a-z0-9_])(and|or|of|to|for|with|by|in|on|that)$'))))"
-
-
-@query(f"SELECT doc_id, {_START} AS starts, {_END} AS ends, {_HIGH} AS high, regexp_matches({_X}, '(?i)\\bexercise\\s+\\d+') AS exercise FROM documents")
-def quality_flags(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.starts_incomplete("text").alias("starts"), tx.ends_incomplete("text").alias("ends"), tx.high_value("text").alias("high"), F.coalesce(tx.is_exercise("text"), F.lit(False)).alias("exercise"))
-
-
-@query()
-def quality_routes(spark, d):
-    """The whole cascade; its noise rule needs Unicode classes that RE2 lacks."""
-    return quality.route_counts(quality.with_quality(store(spark, d), "text"))
-
-
-@query(f"""WITH {STORE}, l AS (SELECT uid, trim(regexp_replace(unnest(string_split(text, chr(10))), '{WS}+', ' ', 'g')) AS line FROM store)
-SELECT line, count(*) AS n FROM l WHERE regexp_matches(line, '{tx.PAGE_NUMBER}') GROUP BY line""")
-def page_number_lines(spark, d):
-    x = store(spark, d).select(F.explode(F.split("text", "\n")).alias("line"))
-    return x.select(tx.collapse("line").alias("line")).where(tx.is_page_number("line")).groupBy("line").agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {STORE} SELECT uid, regexp_replace(regexp_extract(lower({_X}), '^[◮]?\\s*(fig(?:ure|\\.)?|table|algorithm|box)\\s+\\d+', 1), '^fig.*$', 'figure') AS kind
-FROM store WHERE regexp_matches(lower({_X}), '^[◮]?\\s*(fig(?:ure|\\.)?|table|algorithm|box)\\s+\\d+')""")
-def captions(spark, d):
-    return store(spark, d).select("uid", tx.caption_kind("text").alias("kind")).where("kind is not null")
-
-
-@query(f"""WITH {ROWS}, x AS (SELECT row_id, regexp_replace(lower(coalesce(output, '')), '{WS}+', '', 'g') AS o FROM inst)
-SELECT row_id, {" OR ".join(f"starts_with(o, '{w}')" for w in tx.NO_ANSWER)} AS none FROM x""")
-def no_answer_rows(spark, d):
-    return instructions(spark, d).select("row_id", tx.is_no_answer("output").alias("none"))
 
 
 @query(f"WITH {STORE} SELECT uid, md5(concat_ws('||', coalesce(source, ''), coalesce(CAST(orig_page_no AS VARCHAR), ''), coalesce(CAST(page_no AS VARCHAR), ''), coalesce(substr({_X}, 1, 500), ''))) AS content_id FROM store")
@@ -228,11 +194,20 @@ _LUCENE = "ln(1 + (tot.n - df.df + 0.5) / (df.df + 0.5))"
 _TOP5 = "SELECT query, CAST(rank AS INTEGER) AS rank, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 5"
 
 
+_INDEXES: dict = {}
+
+
+def documents_index(spark: SparkSession, d: str, by_language: bool = False) -> search.Postings:
+    """The inverted index of the documents: built once a session and folder, then shared by the queries."""
+    key = (spark.sparkContext.applicationId, d, by_language)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.Postings(table(spark, d, "documents"), "doc_id", "text", tx.route_language("lang", "text") if by_language else None)
+    return _INDEXES[key]
+
+
 def _bm25(spark, d, **kw):
-    docs, ev = table(spark, d, "documents"), table(spark, d, "eval_inputs")
     by = kw.pop("by_language", False)
-    index = search.Postings(docs, "doc_id", "text", tx.route_language("lang", "text") if by else None)
-    return search.bm25(index, ev, "sample_id", "question", 5, lang=tx.script_language("question") if by else None, **kw)
+    return search.bm25(documents_index(spark, d, by), table(spark, d, "eval_inputs"), "sample_id", "question", 5, lang=tx.script_language("question") if by else None, **kw)
 
 
 @query("WITH " + _BM25.format(lang_d="'all'", lang_q="'all'", idf=_LUCENE, more="") + _TOP5)
@@ -322,18 +297,6 @@ def nearest_class(spark, d):
     return scorers.nearest_class(e, c, "vec_id", "embedding").select("vec_id", "class")
 
 
-@query()
-def late_interaction(spark, d):
-    """Token vectors are stand-ins: each embedding as four vectors of sixteen numbers."""
-    e = table(spark, d, "embeddings")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec"))
-    cand = search.dense_top_k(e, q, "vec_id", "embedding", 20).select("query", "doc")
-    qt = cand.join(e.select(F.col("vec_id").alias("query"), F.posexplode(parts).alias("qpos", "qvec")), "query")
-    dt = e.select(F.col("vec_id").alias("doc"), F.explode(parts).alias("dvec"))
-    return search.top_k(search.late_interaction(qt, dt), "query", 5)
-
-
 # --- ordered sets -----------------------------------------------------------------------------------------------
 @query(f"WITH {STORE} SELECT text_id, uid FROM (SELECT md5(text) AS text_id, uid, row_number() OVER (PARTITION BY md5(text) ORDER BY uid) AS n FROM store WHERE text IS NOT NULL) WHERE n = 1")
 def first_of_equal_texts(spark, d):
@@ -353,8 +316,7 @@ b AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score, d
 u AS (SELECT query, doc, pos, l FROM a WHERE pos <= 4 UNION ALL SELECT query, doc, pos, l FROM b WHERE pos <= 4), f AS (SELECT *, row_number() OVER (PARTITION BY query, doc ORDER BY l, pos) AS n FROM u)
 SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY l, pos, doc) AS INTEGER) AS rank FROM f WHERE n = 1""")
 def merge_two_rankings(spark, d):
-    docs, ev = table(spark, d, "documents"), table(spark, d, "eval_inputs")
-    top = search.bm25(search.Postings(docs, "doc_id", "text"), ev, "sample_id", "question", 6)
+    top = search.bm25(documents_index(spark, d), table(spark, d, "eval_inputs"), "sample_id", "question", 6)
     w = Window.partitionBy("query").orderBy("score", "doc")
     a = top.where("rank <= 4").select("query", "doc", F.col("rank").alias("pos"))
     b = top.withColumn("pos", F.row_number().over(w)).where("pos <= 4").select("query", "doc", "pos")
@@ -375,54 +337,6 @@ def consecutive_runs(spark, d):
     return e.groupBy("user_id", "event_type", F.col("island").alias("run")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
-def _blocks(spark, d):
-    s = store(spark, d).where("level = 'parent'")
-    return layout.with_gaps(layout.blocks_of_lines(s, "text", F.col("uid"), F.lit(1)))
-
-
-@query(f"""WITH {STORE}, l AS (SELECT uid AS source, string_split(text, chr(10)) AS ls FROM store WHERE level = 'parent' AND text IS NOT NULL),
-b AS (SELECT source, len(ls) AS n, unnest(ls) AS text, unnest(range(0, len(ls))) AS k FROM l), x AS (SELECT source, n, text, k, row_number() OVER w AS r, lag(k) OVER w AS pk FROM b WHERE trim(text, ' ') <> '' WINDOW w AS (PARTITION BY source ORDER BY k))
-SELECT source, count(*) AS blocks, sum(coalesce(CAST(k - pk - 1 AS BIGINT), 0)) * 12.0 AS gaps FROM x GROUP BY source""")
-def page_gaps(spark, d):
-    return _blocks(spark, d).groupBy("source").agg(F.count("*").alias("blocks"), F.sum("gap_above").alias("gaps"))
-
-
-@query()
-def learned_bands(spark, d):
-    """Bands are learned by source from its pages."""
-    return layout.learn_bands(_blocks(spark, d))
-
-
-@query()
-def furniture_blocks(spark, d):
-    b = materialize(_blocks(spark, d), "blocks")
-    return layout.furniture(b, layout.learn_bands(b)).groupBy("furniture").agg(F.count("*").alias("n"))
-
-
-def _units(spark, d):
-    b = _blocks(spark, d)
-    return layout.merge_units(layout.unit_types(b, layout.body_font(b)))
-
-
-@query()
-def merged_units(spark, d):
-    return _units(spark, d).groupBy("unit_type").agg(F.count("*").alias("n"), F.sum("blocks").alias("blocks"))
-
-
-@query()
-def semantic_chunks(spark, d):
-    page = ["source", "page_no"]
-    n = materialize(chunking.nodes(_units(spark, d), page), "nodes")
-    c = chunking.cuts(materialize(chunking.boundaries(n, page), "bounds"), page)
-    return chunking.chunks(n, c, page).select("source", "chunk", "n_nodes", "words", "chunk_id")
-
-
-@query()
-def children_of_parents(spark, d):
-    s = store(spark, d).where("level = 'parent'")
-    return chunking.parents_and_children(s, "text", "source", "page_no").select("uid", "parent_id", "level", F.length("text").alias("n"))
-
-
 # --- metrics ----------------------------------------------------------------------------------------------------
 _HITS = """WITH r AS (SELECT q.vec_id AS query, c.vec_id AS doc, q.label = c.label AS rel, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score
  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
@@ -462,20 +376,6 @@ def token_f1(spark, d):
     return metrics.token_f1_table(instructions(spark, d), "row_id", "input", "output").select("row_id", F.round("f1", 6).alias("f1"))
 
 
-@query()
-def answer_quality(spark, d):
-    """ROUGE and BLEU of outputs against inputs; the longest common subsequence has no SQL form."""
-    m = metrics.text_scores(tx.mixed_tokens("input"), tx.mixed_tokens("output"))
-    return instructions(spark, d).select("row_id", m.alias("m")).select("row_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l", "bleu")])
-
-
-@query(f"""WITH {ROWS}, x AS (SELECT row_id, regexp_matches(instruction, '超出范围|Out of scope') AS g, regexp_matches(coalesce(output, ''), '超出范围|Out of scope') AS s FROM inst)
-SELECT CASE WHEN g AND s THEN 'correct_no_answer' WHEN g THEN 'false_answer' WHEN s THEN 'missed_answer' ELSE 'answered' END AS status, count(*) AS n FROM x GROUP BY ALL""")
-def answer_statuses(spark, d):
-    g, s = F.col("instruction").rlike("超出范围|Out of scope"), F.coalesce("output", F.lit("")).rlike("超出范围|Out of scope")
-    return instructions(spark, d).groupBy(metrics.answer_status(g, s).alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("""WITH g AS (SELECT CAST(floor(length(text) / 200) * 200 AS BIGINT) AS bucket, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL)
 SELECT bucket, n, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS cumulative, round(100.0 * sum(n) OVER (ORDER BY bucket) / sum(n) OVER (), 4) AS percent FROM g""")
 def length_distribution(spark, d):
@@ -539,14 +439,6 @@ def group_split(spark, d):
     return datasets.split_groups(r, "source_uid").groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("source_uid").alias("groups"))
 
 
-@query(f"""WITH {ROWS}, x AS (SELECT row_id, input, output, list_slice(string_split(output, ', '), 1, 5) AS kw FROM inst WHERE task_type = 'qa_with_keywords' AND output IS NOT NULL AND input IS NOT NULL)
-SELECT row_id, count(*) AS n FROM (SELECT row_id, unnest(CASE WHEN len(kw) > 0 THEN (CASE WHEN length(output) > 40 THEN [1, 2, 3, 4] ELSE [1, 2, 3] END) ELSE [1] END) AS t FROM x) GROUP BY row_id""")
-def augmentation_fan_out(spark, d):
-    r = instructions(spark, d).where("task_type = 'qa_with_keywords' and output is not null and input is not null")
-    r = r.select(F.col("row_id").alias("id"), F.col("input").alias("question"), F.col("output").alias("answer"), F.slice(F.split("output", ", "), 1, 5).alias("keywords"))
-    return datasets.augment(r).groupBy(F.col("source_uid").alias("row_id")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {ROWS} SELECT source_uid, row_id, CAST(place AS INTEGER) AS place FROM (SELECT source_uid, row_id, row_number() OVER (PARTITION BY source_uid ORDER BY md5(concat_ws('|', CAST(row_id AS VARCHAR), '3')), row_id) AS place FROM inst) WHERE place <= 2""")
 def few_shot_sample(spark, d):
     return datasets.few_shot(instructions(spark, d), 2, "source_uid", "row_id", 3).select("source_uid", "row_id", "place")
@@ -557,16 +449,6 @@ def fixed_batches(spark, d):
     return datasets.batches(instructions(spark, d).select("row_id"), 64, ["row_id"])
 
 
-@query(f"""WITH {ROWS} SELECT row_id, regexp_matches(lower({_collapse("coalesce(input, '')")}), '为什么|原因|为何|\\bwhy\\b|\\breason') AS asks_why FROM inst""")
-def asks_for_reason(spark, d):
-    return instructions(spark, d).select("row_id", F.lower(tx.collapse(F.coalesce("input", F.lit("")))).rlike(tx.QUESTION_TYPES[2][1]).alias("asks_why"))
-
-
-@query()
-def question_types(spark, d):
-    return instructions(spark, d).groupBy(tx.question_type(F.coalesce("input", F.lit(""))).alias("type")).agg(F.count("*").alias("n"))
-
-
 # --- fine-tuning data -------------------------------------------------------------------------------------------
 _PROMPT = "array_to_string(list_filter([instruction, input], lambda x: x IS NOT NULL AND length(trim(x)) > 0), chr(10))"
 
@@ -660,9 +542,9 @@ def case_insensitive_questions(spark, d):
     return r.groupBy(F.lower(F.trim("input")).alias("low")).agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS pairs, round(avg(CASE WHEN coalesce(length(output), 0) > coalesce(length(input), 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM " + ALPACA)
+@query(f"WITH {ROWS} SELECT count(*) AS pairs, round(avg(CASE WHEN coalesce(length(output), 0) > coalesce(length(input), 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM inst")
 def preference_accuracy(spark, d):
-    r = table(spark, d, ALPACA).select(F.coalesce(F.length("output"), F.lit(0)).alias("a"), F.coalesce(F.length("input"), F.lit(0)).alias("b"))
+    r = instructions(spark, d).select(F.coalesce(F.length("output"), F.lit(0)).alias("a"), F.coalesce(F.length("input"), F.lit(0)).alias("b"))
     return metrics.preference_accuracy(r, "a", "b").select("pairs", "accuracy")
 
 
@@ -680,12 +562,5 @@ def figures_of_documents(spark, d):
     return m.groupBy("uid").agg(F.count("*").alias("figures"), F.min("f.image_path").alias("first_image"))
 
 
-@query()
-def cross_page_units(spark, d):
-    """Units of neighbouring pages joined where they go on; a fixpoint, so no SQL."""
-    from ..operators import crosspage
-
-    s = store(spark, d).where("level = 'parent' and page_no is not null and text is not null")
-    w = Window.partitionBy("source", "page_no").orderBy("uid")
-    u = s.select("source", "page_no", (F.row_number().over(w) - 1).alias("unit_no"), F.when(tx.caption_kind("text").isNotNull(), "caption").otherwise("body").alias("unit_type"), "text")
-    return crosspage.merge_across_pages(u).select("source", "page_no", "unit_no", "unit_type", F.length("text").alias("n"), F.size("pages").alias("pages"))
+# further queries register themselves
+from . import pages, passages, training  # noqa: E402, F401

@@ -25,15 +25,41 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType, required: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows of a JSON-lines file: unreadable lines, and rows lacking a required field, go to the second."""
+    """(good, bad) rows of a JSON-lines file: unreadable lines, and rows lacking a required field, go to the second.
+
+    Each of the two reads the file; all fields are read with the mark of unreadable lines, so neither has to be kept.
+    """
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    d = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).persist()
+    d = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     ok = F.col("_corrupt").isNull()
     for c in required:
         ok = ok & F.col(c).isNotNull()
     return d.where(ok).drop("_corrupt"), d.where(~ok)
 
 
+def read_stop_words(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
+    """The words of a stop-word file, one a line, in lower case; a list on the driver, `most` at most."""
+    words = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).where("w <> ''").distinct().limit(most + 1).collect()
+    if len(words) > most:
+        raise ValueError(f"more than {most} stop words")
+    return sorted(r["w"] for r in words)
+
+
+def roll_back(spark: SparkSession, path: str, batch: int, column: str = "batch_id") -> None:
+    """Take back the results of one batch of `resumable`: its partition goes."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={batch}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def read_qa(spark: SparkSession, array_path: str, lines_path: str, schema: T.StructType) -> DataFrame:
+    """Questions and answers of a JSON array and of JSON lines in one table; the first of equal ids, array before lines."""
+    both = spark.read.schema(schema).option("multiLine", True).json(array_path).withColumn("_o", F.lit(0)).unionByName(spark.read.schema(schema).json(lines_path).withColumn("_o", F.lit(1)))
+    key = schema.fields[0].name
+    rest = [f.name for f in schema.fields[1:]]
+    g = both.groupBy(key).agg(F.min_by(F.struct(*rest), "_o").alias("_v"))
+    return g.select(key, *[F.col("_v")[c].alias(c) for c in rest])
+
+
 def looks_like_array(spark: SparkSession, path: str) -> bool:
     """Whether a JSON file is one array rather than lines: by its first character that is no white space."""
     first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()

@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from folioweave.sources import io
+from folioweave.functions import text as tx
+from folioweave.operators import search
+from folioweave.sources import index, io
 from folioweave.streaming import jobs
 
 
@@ -76,3 +78,45 @@ def test_index_and_resume(spark, tmp_path):
     for _ in range(2):
         jobs.resumable(jobs.read_parquet_stream(spark, src), lambda b: b.withColumn("x", F.col("v") * 2), res, ck2).awaitTermination()
     assert spark.read.parquet(res).count() == 3
+
+
+def test_vector_collection(spark, tmp_path):
+    c = index.VectorCollection(spark, f"file://{tmp_path}/vectors")
+    with pytest.raises(ValueError, match="no collection"):
+        c.read()
+    c.create()
+    with pytest.raises(ValueError, match="there is a collection"):
+        c.create()
+    d = spark.createDataFrame([("a", [1.0], "s"), ("b", [2.0], "s"), ("c", [3.0], "t"), (None, [4.0], "t")], "uid string, vector array<float>, source string")
+    c.upsert(d)
+    c.upsert(d.where("uid = 'a'").withColumn("vector", F.array(F.lit(9.0))))
+    assert sorted((r.uid, r.vector[0]) for r in c.read().collect()) == [("a", 9.0), ("c", 3.0)]
+    assert sorted((r.uid, r.page) for r in c.pages(1).collect()) == [("a", 0), ("c", 1)]
+    c.create(again=True)
+    assert c.read().count() == 0
+    c.drop()
+    assert not c.exists()
+
+
+def test_stop_words_and_qa(spark, tmp_path):
+    (tmp_path / "stop.txt").write_text("The\n\nof\nthe\n")
+    stops = io.read_stop_words(spark, f"{tmp_path}/stop.txt")
+    assert stops == ["of", "the"]
+    d = spark.createDataFrame([("The cache of pages",)], "t string")
+    assert d.select(tx.without_stops(tx.search_tokens("t"), stops).alias("x")).first().x == ["cache", "pages"]
+    (tmp_path / "a.json").write_text('[{"id": "1", "q": "a"}]')
+    (tmp_path / "b.jsonl").write_text('{"id": "1", "q": "b"}\n{"id": "2", "q": "c"}\n')
+    schema = io.T.StructType([io.T.StructField(c, io.T.StringType()) for c in ("id", "q")])
+    assert sorted(tuple(r) for r in io.read_qa(spark, f"{tmp_path}/a.json", f"{tmp_path}/b.jsonl", schema).collect()) == [("1", "a"), ("2", "c")]
+
+
+def test_index_is_kept(spark, tmp_path):
+    d = spark.createDataFrame([(1, "cache cache index"), (2, "index"), (3, None)], "id long, t string")
+    q = spark.createDataFrame([("q", "index of the cache")], "qid string, t string")
+    made = search.Postings(d, "id", "t")
+    made.save(f"file://{tmp_path}/idx")
+    kept = search.Postings.load(spark, f"file://{tmp_path}/idx")
+    want = sorted(tuple(r) for r in search.bm25(made, q, "qid", "t", 5).collect())
+    assert want and sorted(tuple(r) for r in search.bm25(kept, q, "qid", "t", 5).collect()) == want
+    one = search.scores_of(kept, q, spark.createDataFrame([("q", 2), ("q", 3)], "qid string, doc long"), "qid", "t")
+    assert {r.doc: r.score for r in one.collect()} == {2: next(x[2] for x in want if x[1] == 2), 3: 0.0}

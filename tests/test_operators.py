@@ -1,10 +1,11 @@
 import math
 import random
+import re
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from folioweave.functions import text as tx
 from folioweave.operators import chunking, crosspage, datasets, finetune, fusion, layout, losses, metrics, quality, scorers, search
 
 
@@ -23,6 +24,8 @@ def test_bm25_by_hand(spark):
     want = {1: part(2, 1, 3) + part(1, 2, 3), 2: part(1, 2, 1)}
     assert {r.doc: r.score for r in got} == {k: round(v, 6) for k, v in want.items()} and [r.doc for r in sorted(got, key=lambda r: r["rank"])] == [1, 2]
     assert search.bm25(search.Postings(d.limit(0), "id", "t"), q, "qid", "t", 5).count() == 0
+    made = search.Postings(d, "id", "t")
+    assert rows(made.terms, "term", "df") == [("cache", 1), ("here", 1), ("index", 2), ("other", 1), ("words", 1)] and rows(made.postings.where("doc = 1"), "term", "len", "tf") == [("cache", 3, 2), ("index", 3, 1)]
 
 
 def test_dense_blocks_and_ties(spark, monkeypatch):
@@ -111,19 +114,25 @@ def test_lcs_against_table():
 
 
 def test_statuses_and_bins(spark):
-    d = spark.createDataFrame([(True, True), (True, False), (False, True), (False, False)], "g boolean, s boolean")
-    got = [r.x for r in d.select(metrics.answer_status(F.col("g"), F.col("s")).alias("x")).collect()]
-    assert got == ["correct_no_answer", "false_answer", "missed_answer", "answered"]
+    d = spark.createDataFrame([("无答案", "不知道"), ("无答案", "A cache"), ("A cache", "无法回答"), ("A cache", "An index"), ("A  <b>cache</b>", "a CACHE")], "g string, s string")
+    got = [r.x for r in d.select(metrics.answer_status("g", "s").alias("x")).collect()]
+    assert got == ["correct_no_answer", "missed_no_answer", "false_no_answer", "content_mismatch", "exact_match"]
     h = metrics.histogram(spark.createDataFrame([(0,), (9,), (None,), (3,)], "v int"), F.col("v"), 1, 5)
     assert rows(h, "score", "n") == [(1, 2), (2, 0), (3, 1), (4, 0), (5, 1)]
 
 
 # quality, layout, chunks ----------------------------------------------------------------------------------------------
 def test_quality_routes(spark):
-    texts = ["", "@@## $$ ^^ &&", "Chapter 3", "however, a list of", "See Exercise 1.2 and build the index.", "Figure 3: A cache", "A postings list is defined as a list of documents for one term.", "Nice weather today, friends."]
+    long = "The inverted index keeps terms because it is a method. " * 8
+    texts = ["", "@@## $$ ^^ &&", "Chapter 3", "however, a list of", "Do Exercise 1.2 for the index.", "As shown in Figure 3 the cache works.", long, "A postings list is defined as a list of documents for one term.", long.replace(". ", "; "), "Nice weather today, friends."]
     d = quality.with_quality(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t")
-    assert [r.reason for r in d.orderBy("i").collect()] == ["empty", "too_noisy", "low_information", "incomplete_both_ends", "exercise", "figure", "extra_rule", "need_llm"]
+    assert [r.reason for r in d.orderBy("i").collect()] == [
+        "empty", "too_noisy", "low_information", "incomplete_both_ends", "exercise_or_question_block", "caption_or_strong_figure_dependency", "rule_high_quality",
+        "rule_short_but_complete", "borderline_high_value", "borderline",
+    ]
     assert spark.range(1).select(quality.stricter(F.lit("core"), F.lit("extra")).alias("x")).first().x == "extra"
+    u = quality.unfit_documents(spark.createDataFrame([("a" * 9,), (" ",), (None,), ("x ERROR y",)], "t string"), "t", ("ERROR",), 5)
+    assert rows(u, "t") == [("aaaaa",)]
 
 
 def test_layout(spark):
@@ -131,7 +140,9 @@ def test_layout(spark):
     d = spark.createDataFrame([("s", 1, lines), ("s", 2, None)], "src string, p int, t string")
     b = layout.with_gaps(layout.blocks_of_lines(d, "t", F.col("src"), F.col("p")))
     got = {r.block_no: r.furniture for r in layout.furniture(b, layout.learn_bands(b)).collect()}
-    assert got[0] == "header" and got[21] == "page_number" and got[10] is None
+    assert got[21] == "page_number" and got[20] == "footer" and got[10] is None
+    tall = b.withColumn("height_ratio", F.lit(0.02))
+    assert layout.furniture(tall, layout.learn_bands(tall)).where("furniture = 'header'").count() == 5
     reg = spark.createDataFrame([("s", 1, 0.0, 0.0, 1000.0, 30.0)], "source string, page_no int, x0 double, y0 double, x1 double, y1 double")
     assert min(r.block_no for r in layout.outside_regions(b, reg).collect()) == 3
 
@@ -171,12 +182,94 @@ def test_figures_and_footnotes(spark):
     assert [r.note for r in chunking.attach_footnotes(c, n, "k", ["p"]).collect()] == ["The cache keeps pages in memory"]
 
 
+def test_captions_in_text(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    t = "See Figure 1.2 and fig. 1.2, Figure 1.2 (here) or Figure 1.23; Figure 1.2."
+    assert one(tx.with_caption(F.lit(t), F.lit("Figure 1.2"), F.lit("a cache"))) == "See Figure 1.2 (a cache) and fig. 1.2, Figure 1.2 (here) or Figure 1.23; Figure 1.2 (a cache)."
+    assert one(tx.with_caption(F.lit("Fig 3, fig. 3"), F.lit("Figure 3"), F.lit("x"), 1)) == "Fig 3, fig. 3 (x)"
+    assert one(tx.short_caption(F.lit("◮ Figure 1.2: The cache. More of it."), F.lit("Figure 1.2"))) == "The cache."
+    c = spark.createDataFrame([("c", "As Figure 2 shows."), ("d", "The large cache of pages. See Figure 2."), ("e", "None.")], "k string, text string")
+    u = spark.createDataFrame([(1, "Figure 2 The large cache of pages", None), (3, "Figure 2 Other", "b.png")], "page_no int, text string, image_path string")
+    got = {r.k: r for r in chunking.with_captions(c, layout.figure_index(u), "k").collect()}
+    assert got["c"].text == "As Figure 2 (The large cache of pages) shows." and got["d"].text == "The large cache of pages. See Figure 2." and got["e"].figures is None
+    assert got["c"].figures[0].image_path == "b.png" and got["c"].figures[0].page_no == 1
+
+
+def test_visual_lines_and_captions(spark):
+    at = lambda y, x, t, w=100.0: ("s", 1, y, x, y + 10, x + w, t, 800.0)
+    lines = [at(10.0, 0.0, "Figure 1", 40.0), at(10.5, 50.0, "The cache"), at(22.0, 0.0, "goes on here"), at(34.0, 2.0, "and here."), at(90.0, 0.0, "Body text."), at(102.0, 0.0, "Table 2 Next"), at(114.0, 100.0, "Far right.")]
+    d = spark.createDataFrame(lines, "source string, page_no int, y0 double, x0 double, y1 double, x1 double, text string, page_height double")
+    v = layout.visual_lines(d)
+    assert [r.text for r in v.orderBy("line_no").collect()][:2] == ["Figure 1 The cache", "goes on here"]
+    gaps = spark.createDataFrame([("s", 1, 2.0)], "source string, page_no int, line_gap double")
+    got = layout.caption_regions(v, gaps).orderBy("y0").collect()
+    assert [(r.kind, r.label, r.text, r.lines) for r in got] == [("figure", "Figure 1", "Figure 1 The cache goes on here and here.", 3), ("table", "Table 2", "Table 2 Next", 1)]
+
+
+def test_sentences_against_plain(spark):
+    texts = ["It is so. 1. First point here. 2. Second point there. End of it.", "(1) Alpha one (2) Beta two. And then. a) Gamma", "See Fig. 3. It is e.g. good! 3. Next", "One. 1. Two", ""]
+
+    def plain(t):
+        keep = {a: chr(0xE000 + i) for i, a in enumerate(tx.ABBREVIATIONS)}
+        for a, k in keep.items():
+            t = t.replace(a, k)
+        out = []
+        for p in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9\"'])", t):
+            marks = [m.start() for m in re.finditer(r"(?<!\w)(?=(?:\(?\d+\)|\d+\.|[A-Za-z]\))\s+[A-Z])", p)]
+            cuts = [0, *marks, len(p)] if len(marks) > 1 else [0, len(p)]
+            parts = [p[a:b].strip() for a, b in zip(cuts, cuts[1:]) if p[a:b].strip()]
+            i = 0
+            while i < len(parts):
+                if re.fullmatch(r"\(?\d+\)|\d+\.|[A-Za-z]\)", parts[i]) and i + 1 < len(parts):
+                    out.append(parts[i] + " " + parts[i + 1])
+                    i += 2
+                else:
+                    out.append(parts[i])
+                    i += 1
+        for a, k in keep.items():
+            out = [x.replace(k, a) for x in out]
+        return [x for x in out if len(x) >= 2]
+
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in d.select(tx.sentences("t").alias("s")).collect()] == [plain(t) for t in texts]
+
+
 def test_cross_page(spark):
-    u = spark.createDataFrame([("s", 1, 0, "body", "The cache keeps pages that are"), ("s", 2, 0, "caption", "Figure 1: x"), ("s", 3, 0, "body", "used often by readers."), ("s", 3, 1, "body", "New text."), ("s", 3, 2, "footnote", "1 note")], "source string, page_no int, unit_no int, unit_type string, text string")
-    got = crosspage.merge_across_pages(u).toPandas()
+    u = spark.createDataFrame([("s", 1, 0, "body", "The cache keeps pages that are"), ("s", 2, 0, "caption", "Figure 1: x."), ("s", 3, 0, "body", "used often by readers."), ("s", 3, 1, "body", "New text."), ("s", 3, 2, "footnote", "1 note")], "source string, page_no int, unit_no int, unit_type string, text string")
+    got = crosspage.merge_across_pages(u).orderBy("page_no", "unit_no").toPandas()
     assert got.text.tolist()[0] == "The cache keeps pages that are used often by readers." and list(got.pages.tolist()[0]) == [1, 3] and len(got) == 4
 
 
+def test_page_runs_lose_nothing(spark, monkeypatch):
+    r = random.Random(11)
+    kinds = {"heading": ["1.2 The cache"], "caption": ["Figure 1 The cache that", "Table 2 Pages."], "footnote": ["1 A note"], "body": ["It keeps pages that", "and goes on with", "used by readers.", "The end is here."]}
+    data = []
+    for s in ("a", "b", None):
+        for p in range(120):
+            for k in range(r.randint(1, 8)):
+                t = r.choices(list(kinds), (1, 1, 1, 5))[0]
+                data.append((s, p, k, t, r.choice(kinds[t])))
+    u = spark.createDataFrame(data, "source string, page_no int, unit_no int, unit_type string, text string")
+    runs = crosspage.page_runs(crosspage._with_marks(u))
+    assert runs.groupBy("source", "run").count().count() > 20 and runs.groupBy("run").agg(F.count_distinct(F.coalesce("source", F.lit("-"))).alias("n")).where("n > 1").count() == 0
+    got = rows(crosspage.merge_across_pages(u).withColumn("source", F.coalesce("source", F.lit("-"))), "source", "page_no", "unit_no", "text")
+    monkeypatch.setattr(crosspage, "page_runs", lambda x: x.select("source", "page_no").distinct().withColumn("run", F.lit(0)))
+    assert got == rows(crosspage.merge_across_pages(u).withColumn("source", F.coalesce("source", F.lit("-"))), "source", "page_no", "unit_no", "text")
+    assert any(len(x[3]) > 60 for x in got)
+
+
+def test_carried_sums(spark):
+    r = random.Random(4)
+    keys = [r.choice("ab") for _ in range(500)]
+    d = spark.createDataFrame(list(enumerate(keys)), "i int, k string").repartition(7)
+    want, n = [], 0
+    for i, k in enumerate(keys):
+        n += i > 0 and k != keys[i - 1]
+        want.append(n)
+    assert [x.island for x in fusion.islands(d, ["i"], ["k"]).orderBy("i").collect()] == want
+    assert fusion.numbered(d, ["i"]).where("place <> i").count() == 0 and fusion.numbered(d.limit(0), ["i"]).count() == 0
+
+
 # datasets -------------------------------------------------------------------------------------------------------------
 def test_qa_pairs(spark):
     d = spark.createDataFrame([("u", '[{"question":" a ","answer":"b"},{"question":"c","answer":"d"},{"question":"","answer":"x"}]', [5, 3]), ("v", "no json", None)], "unique_id string, raw_resp string, sc array<int>")
@@ -256,6 +349,23 @@ def test_mask_and_packing(spark):
     assert all(len(r.input_ids) == len(r.labels) == len(r.attention_mask) == 9 for r in q)
 
 
+def test_packs_against_plain():
+    r = random.Random(5)
+    for _ in range(200):
+        sizes, room = [r.randint(0, 14) for _ in range(r.randint(0, 25))], r.randint(1, 12)
+        pool, want = sorted(n for n in sizes if 0 < n <= room), []
+        while pool:
+            left, pack = room, []
+            while any(n <= left for n in pool):
+                n = max(n for n in pool if n <= left)
+                pool.remove(n)
+                pack.append(n)
+                left -= n
+            want.append(pack)
+        got = finetune.fill_packs(sizes, room)
+        assert [[sizes[i] for i in p] for p in got] == want and len({i for p in got for i in p}) == sum(map(len, got))
+
+
 def test_supervised_and_padding(spark):
     d = spark.createDataFrame([(0, "abc", "de"), (0, "a", "b")], "b int, p string, r string")
     s = finetune.supervised(d, "p", "r", 100)
