@@ -38,6 +38,8 @@ SINGLES = {
 }
 #: Costs: a confusable pair or character, an accent, any other edit.
 CONFUSED, OTHER = 0.3, 1.0
+#: Longer forms are met by confusable characters only.
+LONG_FORM = 60
 #: A word of the lexicon is doubted if one that it may be a misreading of is so many times as frequent.
 DWARFED = 200
 # ----------------------------------------------------------------------------------------------------------
@@ -236,7 +238,10 @@ def delete_keys(w: str) -> list[str]:
 
     Whatever confusion made one word of another, one of them can be rewritten at its place, or both are drawn
     together there. Three confusions cost as much as is allowed; with a character left out there is room for one.
+    Of forms over LONG_FORM characters, which have too many rewritings, only the two drawn as they stand are keys.
     """
+    if len(w) > LONG_FORM:
+        return list({canonical(w), _drawn(w)})
     none, one, *more = _rewritten(w, 3)
     bare = {canonical(w), *map(_drawn, none | one)}
     return list({*bare, *(c[:i] + c[i + 1 :] for c in bare for i in range(len(c))), *(_drawn(x) for m in more for x in m)} - {""})
@@ -330,7 +335,7 @@ def _events(c: dict) -> dict:
         forms = [core(x.replace("\0", "")) for x, _ in toks]
         whole = closed([s for s, q in zip(page.lines, page.kind) if q == "B"][-1]) if "B" in page.kind else True
         for i, ((x, broken), f) in enumerate(zip(toks, forms)):
-            if not f or _HAN.search(f) or not _LETTER.search(f) or len(f) > 60:
+            if not f or _HAN.search(f) or not _LETTER.search(f):
                 continue
             if i == len(toks) - 1 and not whole and not broken:
                 continue  # the last word of a cut text may be a fragment
