@@ -263,6 +263,45 @@ def relevance_grade(relevance) -> Column:
     return F.when(relevance.isin(-1, 0, 1), relevance + 1).otherwise(F.raise_error(F.concat(F.lit("unknown relevance "), relevance.cast("string"))).cast("int"))
 
 
+def continuous_label(label, low: float, high: float) -> Column:
+    """A label of low..high as a number of 0..1; anything outside is an error, null stays null."""
+    share = (label - F.lit(low)) / F.lit(high - low)
+    return F.when(label.isNull() | label.between(low, high), share).otherwise(F.raise_error(F.concat(F.lit("label out of range: "), label.cast("string"))).cast("double"))
+
+
+def retrieval_query(text, task) -> Column:
+    """What to search with: of a question with keywords the question alone, else the text, single-spaced."""
+    x = tx.collapse(F.coalesce(text, F.lit("")))
+    en, zh = (F.regexp_extract(x, p, 1) for p in (r"(?s)^Question:\s*(.*?)\s*Keywords:\s*.*$", r"(?s)^问题：\s*(.*?)\s*关键词：\s*.*$"))
+    keyed = task == "qa_with_keywords"
+    return F.when(keyed & x.rlike(r"(?s)^Question:.*Keywords:"), en).when(keyed & x.rlike("(?s)^问题：.*关键词："), zh).otherwise(x)
+
+
+def query_ids(many, one) -> Column:
+    """Ids of a row: the non-blank ones of an array, else a single one, else none."""
+    listed = F.filter(F.transform(F.coalesce(many, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    single = F.filter(F.array(F.trim(one)), lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(listed) > 0, listed).otherwise(single)
+
+
+def query_pairs(queries: DataFrame, docs: DataFrame, scores: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, doc, place, score, rank): candidates of each query with their scores by position, best first, null last."""
+    p = queries.select(key).join(docs, key).join(scores, [key, "place"], "left")
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last("score"), "place")
+    return p.select(key, "doc", "place", "score").withColumn("rank", F.row_number().over(w))
+
+
+def shuffled_text(text, key, share: float = 0.15, seed: int = 0) -> Column:
+    """A text with its three thirds in another order, for about `share` of the keys; which and how, the key's hash says."""
+    n = F.length(text)
+    third = F.floor(n / 3).cast("int")
+    parts = F.array(F.substr(text, F.lit(1), third), F.substr(text, third + 1, third), F.substr(text, 2 * third + 1, n))
+    h = lambda i: tx.hash_order(key, seed=seed + i)
+    order = F.array_sort(F.array(*[F.struct(h(i + 1).alias("h"), F.get(parts, F.lit(i)).alias("p")) for i in range(3)]))
+    draw = F.conv(F.substring(h(0), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    return F.when((draw < share) & (n >= 3), F.array_join(F.transform(order, lambda x: x["p"]), "")).otherwise(text)
+
+
 def grouped_hits(rows: DataFrame, order: str = "pos") -> DataFrame:
     """Pointwise rows (query_id, query, content, label, pos) to one row for each run of neighbouring rows of a query."""
     d = fusion.islands(rows, [order], ["query_id", "query"])

@@ -320,3 +320,27 @@ def tool_call(text) -> Column:
 def tool_text(name, arguments) -> Column:
     """The same, as text."""
     return F.concat(F.lit("Action: "), name, F.lit("\nAction Input: "), arguments)
+
+
+def valid_tokens(labels) -> Column:
+    """Number of labels that count."""
+    return F.size(F.filter(labels, lambda x: x != IGNORE))
+
+
+def rows_at(rows: DataFrame, order: list, first: int, last: int, step: int = 1) -> DataFrame:
+    """Rows at the places first, first+step, ... before `last` in `order`, with their place; no task numbers them alone."""
+    from .fusion import numbered
+
+    n = numbered(rows, order, "place")
+    return n.where((F.col("place") >= first) & (F.col("place") < last) & ((F.col("place") - first) % step == 0))
+
+
+def render_plain(system, messages, user: str = "Human: ", bot: str = "Assistant:") -> Column:
+    """A conversation as plain lines, with a system line before it where there is one."""
+    turn = lambda m: F.when(m["role"] == "assistant", F.concat(F.lit(bot), m["content"], F.lit("\n"))).otherwise(F.concat(F.lit(user), m["content"], F.lit("\n")))
+    return F.concat(F.when(F.length(F.trim(system)) > 0, F.concat(system, F.lit("\n\n"))).otherwise(F.lit("")), F.array_join(F.transform(messages, turn), ""))
+
+
+def joined_vectors(a: DataFrame, b: DataFrame, key: str, vector: str = "vec") -> DataFrame:
+    """(key, vector): vectors of two teachers end to end, of the keys that both have."""
+    return a.select(key, F.col(vector).alias("_a")).join(b.select(key, F.col(vector).alias("_b")), key).select(key, F.concat("_a", "_b").alias(vector))

@@ -97,7 +97,7 @@ def unit_types(blocks: DataFrame, fonts: DataFrame, page: tuple = ("source", "pa
     """`blocks` with unit_type: caption, heading, footnote or body."""
     d = blocks.join(fonts, list(page))
     heading = (F.col("font") >= 1.2 * F.col("body_font")) & (tx.chunk_count("text") <= 20)
-    note = tx.looks_like_footnote("text") & (F.col("y0") >= 0.78 * F.col("page_height")) & (F.col("font") <= 0.88 * F.col("body_font"))
+    note = tx.looks_like_footnote("text") & (F.col("y1") >= NOTE_ZONE * F.col("page_height")) & (F.col("font") <= NOTE_FONT * F.col("body_font"))
     kind = F.when(tx.caption_kind("text").isNotNull(), "caption").when(heading, "heading").when(note, "footnote").otherwise("body")
     return d.withColumn("unit_type", kind)
 
@@ -210,6 +210,37 @@ def block_fonts(lines: DataFrame, block: tuple = ("source", "page_no", "block_no
     return lines.groupBy(*block).agg(F.avg(size).alias("avg_font"), F.max(size).alias("max_font"), F.min(size).alias("min_font"), F.count("*").alias("lines"))
 
 
+#: Fixed values of footnotes: where they may stand, how small they are, how far from the body, how long.
+NOTE_ZONE, NOTE_FONT, NOTE_GAP, NOTE_GAP_SHARE, NOTE_LENGTH = 0.78, 0.88, 1.3, 0.010, 8
+
+
+def split_footnotes(lines: DataFrame, page: tuple = ("source", "page_no"), block: str = "block_no") -> DataFrame:
+    """(page..., block_no, body, footnote): the lines of each block before its footnote, and the footnote's text.
+
+    lines: rows (page..., block_no, text, y0, y1, gap_above, font, page_height, body_font, line_gap). A footnote begins at
+    the first small line of the page's foot that is set apart and numbered; it goes on over the small lines that follow.
+    What stands behind these in the block belongs to neither. Without a footnote, footnote is null.
+    """
+    d = lines.withColumn("text", tx.collapse("text")).where("text <> ''")
+    small = (F.col("y1") >= NOTE_ZONE * F.col("page_height")) & (F.col("font") > 0) & (F.col("font") <= NOTE_FONT * F.col("body_font"))
+    apart = F.col("gap_above") >= F.greatest(F.col("line_gap") * NOTE_GAP, F.col("page_height") * NOTE_GAP_SHARE)
+    d = d.withColumn("begins", small & apart & tx.looks_like_footnote("text")).withColumn("goes", small & (F.length("text") >= NOTE_LENGTH))
+    g = d.groupBy(*page, block).agg(F.sort_array(F.collect_list(F.struct("y0", "text", "begins", "goes"))).alias("l"))
+    begin = F.array_position(F.transform("l", lambda x: x["begins"]), F.lit(True)).cast("int")
+    g = g.withColumn("at", F.when(begin > 0, begin)).withColumn("rest", F.when(begin > 0, F.slice("l", begin + 1, F.size("l"))))
+    stop = F.array_position(F.transform("rest", lambda x: x["goes"]), F.lit(False)).cast("int")
+    run = F.when(stop > 0, F.slice("rest", F.lit(1), stop - 1)).otherwise(F.col("rest"))
+    text = lambda ls: F.array_join(F.transform(ls, lambda x: x["text"]), " ")
+    note = F.when(F.col("at").isNotNull(), text(F.concat(F.slice("l", F.col("at"), F.lit(1)), run)))
+    body = F.when(F.col("at").isNotNull(), F.slice("l", F.lit(1), F.col("at") - 1)).otherwise(F.col("l"))
+    return g.select(*page, block, text(body).alias("body"), note.alias("footnote"))
+
+
+def first_page(*values) -> Column:
+    """The first of several page numbers that is one: integers, whole numbers, or digits in a text."""
+    return F.coalesce(*[F.when(tx.stripped(v.cast("string")).rlike(r"^\d+(?:\.0+)?$"), tx.stripped(v.cast("string")).cast("double").cast("int")) for v in values])
+
+
 def figure_index(units: DataFrame, text: str = "text", image: str = "image_path", page: str = "page_no") -> DataFrame:
     """(label, caption, short_caption, image_path, page_no) of every figure and table with a caption: the first caption
     of a label by page and text, and the first image that any of its captions has."""

@@ -74,6 +74,33 @@ def judged_label(label, reason) -> Column:
     return F.struct(F.when(known, label).otherwise("extra").alias("label"), F.when(known, F.coalesce(reason, F.lit("unknown"))).otherwise(wrong).alias("reason"))
 
 
+#: How a passage and its flags are shown to a judge.
+SHOWN_TEXT, SHOWN_FLAGS, YES, NO = "正文：", "辅助信息：", "是", "否"
+SHOWN = (("是否涉及图表引用", "figures"), ("是否有关联脚注", "notes"), ("是否像图题/表题", "caption"), ("是否像练习题/题目", "exercise"), ("是否像编号步骤/选项", "steps"), ("是否强依赖图表", "needs_figure"))
+SHOWN_PAGE, SHOWN_LEVEL = "原始页码", "文档层级"
+
+
+def judge_text(text, has_figure: Column, has_note: Column, page=None, level=None) -> Column:
+    """What a judge is shown of a passage: its text, and a line for each flag; page and level where they are known."""
+    flags = {**passage_flags(text, has_figure), "figures": has_figure, "notes": has_note}
+    lines = [F.lit(SHOWN_TEXT), tx.collapse(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit(""), F.lit(SHOWN_FLAGS)]
+    lines += [F.concat(F.lit(f"- {name}: "), F.when(flags[c], YES).otherwise(NO)) for name, c in SHOWN]
+    for name, c in ((SHOWN_PAGE, page), (SHOWN_LEVEL, level)):
+        if c is not None:
+            lines.append(F.when(c.isNotNull(), F.concat(F.lit(f"- {name}: "), c.cast("string"))))
+    return F.trim(F.array_join(F.array(*lines), "\n"))
+
+
+def judge_batches(docs: DataFrame, key: str, shown: str, size: int) -> DataFrame:
+    """(batch, n, text): documents in batches of `size` by key, each in a tag with its key."""
+    from . import datasets
+
+    b = datasets.batches(docs.select(F.col(key).alias("k"), F.col(shown).alias("t")), size, ["k"], drop_last=False)
+    one = F.concat(F.lit('<doc unique_id="'), F.col("k").cast("string"), F.lit('">\n'), F.col("t"), F.lit("\n</doc>"))
+    g = b.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("k", one.alias("x")))).alias("l"))
+    return g.select("batch", F.size("l").alias("n"), F.array_join(F.transform("l", lambda x: x["x"]), "\n\n").alias("text"))
+
+
 def stricter(a, b) -> Column:
     """The worse of two labels; an unknown label counts as drop."""
     rank = F.create_map(*[F.lit(x) for i, n in enumerate(LABELS) for x in (n, i)])

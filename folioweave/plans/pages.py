@@ -58,7 +58,7 @@ def page_fonts_and_gaps(spark, d):
     return layout.body_font(b).join(layout.line_gap(b), ["source", "page_no"]).select("source", "page_no", "body_font", F.round("line_gap", 6).alias("line_gap"))
 
 
-_UNITS = f"""ut AS (SELECT b.*, CASE WHEN regexp_matches(line, {_CAP}) THEN 'caption' WHEN font >= 1.2 * body AND words <= 20 THEN 'heading' WHEN regexp_matches(s, '^(\\d{{1,2}}\\.\\s+\\S|\\[\\d{{1,2}}\\]\\s*\\S|\\d{{1,2}}\\s+[A-Z])') AND y0 >= 0.78 * 480 AND font <= 0.88 * body THEN 'footnote' ELSE 'body' END AS unit_type FROM b JOIN bf USING (source, page_no)),
+_UNITS = f"""ut AS (SELECT b.*, CASE WHEN regexp_matches(line, {_CAP}) THEN 'caption' WHEN font >= 1.2 * body AND words <= 20 THEN 'heading' WHEN regexp_matches(line, '^(\\d+\\.\\s+.+|\\[\\d+\\]\\s+.+|\\d+\\s+[A-Z].+)') AND y1 >= 0.78 * 480 AND font <= 0.88 * body THEN 'footnote' ELSE 'body' END AS unit_type FROM b JOIN bf USING (source, page_no)),
  uc AS (SELECT *, CASE WHEN unit_type = lag(unit_type) OVER w AND unit_type IN ('body', 'heading', 'footnote') THEN 0 ELSE 1 END AS c FROM ut WINDOW w AS (PARTITION BY source, page_no ORDER BY k)),
  un AS (SELECT *, sum(c) OVER (PARTITION BY source, page_no ORDER BY k) - 1 AS unit_no FROM uc)"""
 
@@ -100,6 +100,26 @@ def caption_regions(spark, d):
     return layout.caption_regions(lines, gaps).select("source", "page_no", F.md5("text").alias("text"), "lines")
 
 
+#: Every seventh line of a record is numbered and small here, and the two after it are small.
+_NOTES = f"nl AS (SELECT source, page_no, k, {_collapse("CASE WHEN k % 7 = 3 THEN '12. ' || text ELSE text END")} AS t, k % 7 IN (3, 4, 5) AS small, k % 7 = 3 AS apart FROM b WHERE n > 0), ni AS (SELECT *, small AND apart AND regexp_matches(t, '^(\\d+\\.\\s+.+|\\[\\d+\\]\\s+.+|\\d+\\s+[A-Z].+)') AS begins, small AND length(t) >= 8 AS goes FROM nl), na AS (SELECT source, page_no, min(k) FILTER (begins) AS st FROM ni GROUP BY ALL), nb AS (SELECT ni.*, st, count(*) FILTER (k > st AND NOT goes) OVER (PARTITION BY ni.source, ni.page_no ORDER BY k) AS stops FROM ni JOIN na ON ni.source IS NOT DISTINCT FROM na.source AND ni.page_no = na.page_no)"
+
+
+@query(f"WITH {STORE}, {BLOCKS}, {_NOTES} SELECT source, page_no, md5(coalesce(string_agg(t, ' ' ORDER BY k) FILTER (st IS NULL OR k < st), '')) AS body, md5(string_agg(t, ' ' ORDER BY k) FILTER (k = st OR (k > st AND stops = 0))) AS footnote FROM nb GROUP BY source, page_no")
+def split_footnotes(spark, d):
+    """Records as one block each, all of it in the foot of the page."""
+    b, k = _blocks(spark, d), F.col("block_no")
+    lines = b.select(
+        "source", "page_no", F.lit(0).alias("block_no"), F.when(k % 7 == 3, F.concat(F.lit("12. "), F.col("text"))).otherwise(F.col("text")).alias("text"), "y0", F.lit(95.0).alias("y1"),
+        F.when(k % 7 == 3, 5.0).otherwise(0.0).alias("gap_above"), F.when((k % 7).isin(3, 4, 5), 8.0).otherwise(10.0).alias("font"), F.lit(100.0).alias("page_height"), F.lit(10.0).alias("body_font"), F.lit(1.0).alias("line_gap"),
+    ).where(F.length(tx.collapse(b["text"])) > 0)
+    return layout.split_footnotes(lines).select("source", "page_no", F.md5("body").alias("body"), F.md5("footnote").alias("footnote"))
+
+
+@query(f"WITH {STORE} SELECT uid, CAST(coalesce(orig_page_no, page_no, CASE WHEN regexp_matches(source, '^\\d+$') THEN CAST(source AS INT) END, 7) AS INT) AS page FROM store")
+def cited_pages(spark, d):
+    return store(spark, d).select("uid", layout.first_page(F.col("orig_page_no"), F.col("page_no"), F.col("source"), F.lit(" 7 ")).alias("page"))
+
+
 @query(f"WITH {STORE}, {BLOCKS} SELECT source, page_no, round(avg(font), 6) AS avg_font, max(font) AS max_font, count(*) AS lines FROM b GROUP BY ALL")
 def block_fonts(spark, d):
     f = layout.block_fonts(_blocks(spark, d), ("source", "page_no"))

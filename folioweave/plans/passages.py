@@ -307,3 +307,23 @@ SELECT row_id, md5(string_agg(w, '|' ORDER BY i)) AS lines, count(*) AS n FROM f
 def numbered_lines(spark, d):
     k = datasets.numbered_lines(F.col("output"))
     return instructions(spark, d).select("row_id", F.md5(F.array_join(k, "|")).alias("lines"), F.size(k).cast("long").alias("n")).where("n > 0")
+
+
+_YES = lambda x: f"CASE WHEN {x} THEN '是' ELSE '否' END"
+_SHOW = f"""'正文：' || chr(10) || {_X} || chr(10) || chr(10) || '辅助信息：' || chr(10) || '- 是否涉及图表引用: ' || {_YES('has_figure')} || chr(10) || '- 是否有关联脚注: 否' || chr(10) || '- 是否像图题/表题: ' || {_YES(_CAPTION)} || chr(10) || '- 是否像练习题/题目: ' || {_YES(_EXERCISE)}
+ || chr(10) || '- 是否像编号步骤/选项: ' || {_YES(_STEPS)} || chr(10) || '- 是否强依赖图表: ' || {_YES(_SHOWN)} || chr(10) || '- 文档层级: doc'"""
+
+
+@query(f"SELECT doc_id, md5({_SHOW}) AS shown FROM (SELECT *, doc_id % 3 = 0 AS has_figure FROM documents)")
+def texts_for_judges(spark, d):
+    return _shown(spark, d).select("doc_id", F.md5("shown").alias("shown"))
+
+
+def _shown(spark, d):
+    x = table(spark, d, "documents")
+    return x.select("doc_id", quality.judge_text("text", F.col("doc_id") % 3 == 0, F.lit(False), level=F.lit("doc")).alias("shown"))
+
+
+@query("WITH x AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) SELECT r // 8 AS batch, CAST(count(*) AS INT) AS n, md5(string_agg('<doc unique_id=\"' || doc_id || '\">' || chr(10) || source || chr(10) || '</doc>', chr(10) || chr(10) ORDER BY doc_id)) AS text FROM x GROUP BY r // 8")
+def judge_batches(spark, d):
+    return quality.judge_batches(table(spark, d, "documents"), "doc_id", "source", 8).select("batch", "n", F.md5("text").alias("text"))

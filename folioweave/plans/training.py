@@ -416,3 +416,60 @@ def distinct_texts(spark, d):
     t = table(spark, d, "documents").select(tx.collapse(F.coalesce("text", F.lit(""))).alias("x"), F.coalesce("lang", F.lit("")).alias("l"))
     return t.groupBy(F.col("l").alias("lang")).agg(F.count("*").alias("n"), F.count_distinct("x").alias("texts"))
 
+
+@query(f"WITH {ROWS}, {_PAIRS}, x AS (SELECT id, CASE WHEN task_type = 'qa_with_keywords' THEN CASE WHEN starts_with(input, 'Q') THEN regexp_extract({_collapse('input')}, '^Question:\\s*(.*?)\\s*Keywords:\\s*.*$', 1) ELSE regexp_extract({_collapse('input')}, '^问题：\\s*(.*?)\\s*关键词：\\s*.*$', 1) END ELSE {_collapse('input')} END AS q FROM au) SELECT id, md5(q) AS q FROM x")
+def retrieval_queries(spark, d):
+    return _pairs(spark, d).select("id", F.md5(datasets.retrieval_query(F.col("input"), F.col("task_type"))).alias("q"))
+
+
+@query(f"WITH {ROWS} SELECT row_id, round((row_id % 5) / 4.0, 6) AS label FROM inst")
+def continuous_labels(spark, d):
+    return instructions(spark, d).select("row_id", F.round(datasets.continuous_label(F.col("row_id") % 5, 0, 4), 6).alias("label"))
+
+
+@query(f"WITH {ROWS} SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'a,b' WHEN row_id % 3 = 1 THEN CAST(row_id AS VARCHAR) ELSE '' END AS ids FROM inst")
+def normalised_query_ids(spark, d):
+    n = F.col("row_id")
+    many = F.when(n % 3 == 0, F.array(F.lit(" a "), F.lit(""), F.lit("b"))).when(n % 3 == 1, F.array(F.lit(" ")))
+    return instructions(spark, d).select("row_id", F.array_join(datasets.query_ids(many, F.when(n % 3 == 1, n.cast("string")).otherwise(" ")), ",").alias("ids"))
+
+
+@query(f"WITH {ROWS}, {_HIT}, c AS (SELECT q, pos, row_number() OVER (PARTITION BY q ORDER BY pos) - 1 AS place FROM hit), s AS (SELECT *, CASE WHEN place % 3 <> 2 THEN pos % 7 END AS score FROM c) SELECT q AS query_id, pos AS doc, CAST(place AS INT) AS place, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC NULLS LAST, place) AS INT) AS rank FROM s")
+def scored_candidates(spark, d):
+    from pyspark.sql.window import Window
+
+    h = _hits(spark, d).select("query_id", F.col("pos").alias("doc"), (F.row_number().over(Window.partitionBy("query_id").orderBy("pos")) - 1).alias("place"))
+    s = h.where("place % 3 <> 2").select("query_id", "place", (F.col("doc") % 7).cast("double").alias("score"))
+    return datasets.query_pairs(h.select("query_id").distinct(), h, s)
+
+
+@query(f"WITH {ROWS}, {_LEN}, b AS (SELECT *, {_TB} AS tn FROM ln) SELECT row_id // 32 AS batch, CAST(sum(tn) AS BIGINT) AS tokens FROM b GROUP BY ALL")
+def valid_token_counts(spark, d):
+    r = finetune.supervised(instructions(spark, d).select(F.floor(F.col("row_id") / 32).alias("batch"), F.coalesce("input", F.lit("")).alias("p"), F.coalesce("output", F.lit("")).alias("r")), "p", "r", 256)
+    return r.groupBy("batch").agg(F.sum(finetune.valid_tokens("labels")).alias("tokens"))
+
+
+@query(f"WITH {ROWS}, n AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM inst) SELECT row_id, place FROM n WHERE place >= 10 AND place < 90 AND (place - 10) % 4 = 0")
+def rows_at_places(spark, d):
+    return finetune.rows_at(instructions(spark, d).select("row_id"), ["row_id"], 10, 90, 4)
+
+
+@query(f"WITH {ROWS} SELECT row_id, md5(CASE WHEN length(trim(coalesce(system, ''))) > 0 THEN system || chr(10) || chr(10) ELSE '' END || 'Human: ' || coalesce(input, '') || chr(10) || 'Assistant:' || coalesce(output, '') || chr(10)) AS text FROM inst")
+def plain_conversations(spark, d):
+    turn = lambda r, c: F.struct(F.lit(r).alias("role"), F.coalesce(c, F.lit("")).alias("content"))
+    m = F.array(turn("user", F.col("input")), turn("assistant", F.col("output")))
+    return instructions(spark, d).select("row_id", F.md5(finetune.render_plain(F.coalesce("system", F.lit("")), m)).alias("text"))
+
+
+@query("SELECT a.vec_id, round(list_dot_product(CAST(list_concat(a.embedding, b.embedding) AS DOUBLE[]), CAST(list_concat(b.embedding, a.embedding) AS DOUBLE[])), 5) AS x FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def joined_teachers(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), "vec")
+    j = finetune.joined_vectors(e, other, "vec_id").join(finetune.joined_vectors(other, e, "vec_id").withColumnRenamed("vec", "w"), "vec_id")
+    return j.select("vec_id", F.round(vx.dot("vec", "w"), 5).alias("x"))
+
+
+@query(f"""WITH {ROWS}, t AS (SELECT row_id, coalesce(output, '') AS o, length(coalesce(output, '')) AS n, length(coalesce(output, '')) // 3 AS k FROM inst), p AS (SELECT row_id, o, n, [{{'h': md5(concat_ws('|', CAST(row_id AS VARCHAR), '1')), 'p': substr(o, 1, k)}}, {{'h': md5(concat_ws('|', CAST(row_id AS VARCHAR), '2')), 'p': substr(o, k + 1, k)}}, {{'h': md5(concat_ws('|', CAST(row_id AS VARCHAR), '3')), 'p': substr(o, 2 * k + 1)}}] AS ps FROM t)
+SELECT row_id, md5(CASE WHEN n >= 3 AND CAST('0x' || substr(md5(concat_ws('|', CAST(row_id AS VARCHAR), '0')), 1, 8) AS BIGINT) / 4294967296.0 < 0.5 THEN array_to_string(list_transform(list_sort(ps), lambda x: x.p), '') ELSE o END) AS text FROM p""")
+def shuffled_texts(spark, d):
+    return instructions(spark, d).select("row_id", F.md5(datasets.shuffled_text(F.coalesce("output", F.lit("")), "row_id", 0.5)).alias("text"))
