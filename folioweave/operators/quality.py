@@ -16,8 +16,9 @@ FALLBACK = "llm_error_fallback_extra"
 
 
 def passage_flags(text, has_figure: Column) -> dict[str, Column]:
-    """What the rules rest on, by name."""
-    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    """What the rules rest on, by name. `text` names or is a column of texts; that named tx.SINGLE is collapsed already."""
+    named = isinstance(text, str)
+    t = F.col(text) if named and text == tx.SINGLE else F.coalesce(F.col(text) if named else text, F.lit(""))
     return {
         "words": tx.chunk_count(t), "sentences": F.size(tx.simple_sentences(t)), "noise": tx.noise_share(tx.collapse(t)), "high_value": tx.high_value(t),
         "caption": tx.is_caption(t), "exercise": tx.is_exercise(t), "steps": tx.is_steps(t), "needs_figure": tx.needs_figure(t, has_figure),
@@ -51,8 +52,9 @@ def quality_route(text, has_figure: Column) -> Column:
 def with_quality(docs: DataFrame, text: str, has_figure: Column | None = None) -> DataFrame:
     """`docs` with route, reason and the flags they rest on."""
     fig = has_figure if has_figure is not None else F.lit(False)
-    f = passage_flags(text, fig)
-    return docs.withColumn("q", quality_route(text, fig)).select(
+    d = docs.withColumn(tx.SINGLE, tx.collapse(F.coalesce(text, F.lit(""))))
+    f = passage_flags(tx.SINGLE, fig)
+    return d.withColumn("q", quality_route(tx.SINGLE, fig)).select(
         *docs.columns, "q.route", "q.reason", *[f[c].alias(c) for c in ("starts_incomplete", "ends_incomplete", "high_value", "steps")], F.round(f["noise"], 6).alias("noise"),
     )
 
