@@ -165,9 +165,14 @@ def plain_sentences(spark, d):
         held = F.replace(held, F.lit(a), F.lit(chr(0xE000 + i)))
     t = t.where(~held.rlike(r"[.!?] [A-Z0-9\"'][.!?] "))
     s = F.filter(tx.sentences("text", 0), lambda p: F.length(p) > 0)
-    # a held abbreviation is one character in the other query
-    for a in _PROTECT:
-        s = F.transform(s, lambda p, a=a: F.replace(p, F.lit(a), F.lit("#")))
+
+    def short(p):
+        # a held abbreviation is one character in the other query
+        for a in _PROTECT:
+            p = F.replace(p, F.lit(a), F.lit("#"))
+        return p
+
+    s = F.transform(s, short)  # a second parameter of the function would be the place in the array
     return t.select("doc_id", F.size(s).cast("long").alias("n"), F.array_max(F.transform(s, lambda p: F.length(p))).cast("long").alias("longest"))
 
 

@@ -37,3 +37,18 @@ def test_queries_match_sql(spark):
         assert cols == sorted(b.columns)
         key = lambda df: sorted(tuple(round(float(v), 5) if isinstance(v, float) else str(v) for v in r) for r in df[cols].itertuples(index=False))
         assert key(a) == key(b), name
+
+
+def test_plain_sentences_match_sql(spark, tmp_path):
+    from folioweave.plans import catalogue
+
+    many = " ".join(f"The words of part {i} say so." for i in range(9, 14))
+    texts = ["Art.-No. Soltam 99 | No. 5 in Fig. 3 of it.", "So it is. " * 12 + "It takes 12 of the 12 runs here.", many, "   ", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalogue.queries()["plain_sentences"](spark, str(tmp_path)).collect())
+    # held abbreviations count as one character, numbers as they stand
+    assert got == [(0, 1, len(texts[0]) - 2 - 2 - 3), (1, 13, 32), (2, 5, 28)]
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(c.sql(catalogue.oracle_sql()["plain_sentences"]).fetchall())
