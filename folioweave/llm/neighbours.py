@@ -1,10 +1,12 @@
-"""Problem 4: the most similar vectors of every vector, by robust-pruned directed graphs in shards.
+"""Problem 4: the most similar vectors of every vector, in shards about centroids.
 
 Equal directions are one class, represented once. The classes are spread over shards by the nearest of the
 centroids, fitted on bounded samples and divided until no shard is overfull; each is indexed in one shard and asked in
-its `probes` nearest ones. A shard builds a directed graph: greedy searches from the medoid propose neighbours,
-relaxed distance pruning keeps diverse edges, reverse edges are pruned alike; beam search answers its queries. All
-steps work on batches of nodes. Shards are of like size at any scale, and each has a task of its own.
+its `probes` nearest ones, where those that are indexed meet it too: a pair is found if either asks in the other's
+shard. A shard of usual size compares all that are asked in it with all that are indexed, by products of matrices. An
+overfull one, of vectors too near each other for any centroid, builds a robust-pruned directed graph: greedy searches
+from the medoid propose neighbours, relaxed distance pruning keeps diverse edges, reverse edges are pruned alike; beam
+search answers its queries. All steps work on batches. Shards are of like size at any scale, and each has a task of its own.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from ._frames import arrow_map, once
+from ..session import discard, materialize
+from ._frames import SLOTS, arrow_map, once
 
 
 class Graph:
@@ -310,47 +312,123 @@ def _split_hot(reps: DataFrame, cent: np.ndarray, size: int, per_centroid: int =
     return cent, count
 
 
-def _nearest(asked: DataFrame, reps: DataFrame, routes: Routes, k: int) -> tuple[np.ndarray, list[list[int]]]:
-    """(vectors of `asked`, for each of them the shards of its k most similar others), by comparison with all of `reps`."""
+def _nearest(asked: DataFrame, reps: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors of `asked`; numbers of these, vectors of their k most similar others), by comparison with all of `reps`."""
     got = asked.toPandas()
     q = np.stack(got.vec.to_list()).astype(np.float32)
-    sent = reps.sparkSession.sparkContext.broadcast((q, {key: i for i, key in enumerate(got.key)}, routes))
+    sent = reps.sparkSession.sparkContext.broadcast((q, got.key.to_numpy()))
 
     def run(batches):
-        q, at, c = sent.value
-        sim, shard = np.full((len(q), k), -np.inf, np.float32), np.full((len(q), k), -1, np.int32)
+        q, keys = sent.value
+        sim, other = np.full((len(q), k), -np.inf, np.float32), np.zeros((len(q), k), np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = _vectors(b)
-            home = c.nearest(x, 1)[:, 0].astype(np.int32)
+            x, key = _vectors(b) if b.num_rows else q[:0], b.column("key").to_numpy()
             for lo in range(0, len(x), 4096):
-                v = q @ x[lo : lo + 4096].T
-                for j, key in enumerate(b.column("key")[lo : lo + 4096].to_pylist()):
-                    if key in at:
-                        v[at[key], j] = -np.inf
-                v, h = np.concatenate([sim, v], 1), np.concatenate([shard, np.broadcast_to(home[lo : lo + 4096], v.shape)], 1)
-                best = np.argpartition(-v, k - 1, axis=1)[:, :k]
-                sim, shard = np.take_along_axis(v, best, 1), np.take_along_axis(h, best, 1)
+                v, part = q @ x[lo : lo + 4096].T, key[lo : lo + 4096]
+                _, i, j = np.intersect1d(keys, part, return_indices=True)
+                v[i, j] = -np.inf
+                for r in np.flatnonzero(v.max(1) > sim[:, -1]):
+                    new = np.flatnonzero(v[r] > sim[r, -1])
+                    near = np.concatenate([sim[r], v[r, new]])
+                    best = np.argsort(-near, kind="stable")[:k]
+                    sim[r], other[r] = near[best], np.concatenate([other[r], part[new]])[best]
         i, j = np.nonzero(sim > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(-sim[i, j].astype(np.float64)), pa.array(shard[i, j])], names=["q", "far", "shard"])
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(-sim[i, j].astype(np.float64)), pa.array(other[i, j])], names=["q", "far", "key"])
 
-    near = reps.select("key", "vec").mapInArrow(run, "q long, far double, shard int")
-    near = near.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "shard"))), 1, k).alias("l"))
-    shards: list[list[int]] = [[] for _ in q]
-    for r in near.collect():
-        shards[r["q"]] = [x["shard"] for x in r["l"]]
-    return q, shards
+    near = reps.select("key", "vec").mapInArrow(run, "q long, far double, key long")
+    near = near.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "key"))), 1, k).alias("l")).select("q", F.explode("l.key").alias("key"))
+    near = reps.select("key", "vec").join(F.broadcast(near), "key").select("q", "vec").toPandas()  # k rows for each one asked
+    return q, near.q.to_numpy(), np.stack(near.vec.to_list()).astype(np.float32) if len(near) else q[:0]
 
 
-def _enough_probes(q: np.ndarray, shards: list[list[int]], routes: Routes, recall: float, most: int = 256) -> int:
-    """The number of nearest shards that hold `recall` of the neighbours."""
-    near = routes.nearest(q, most)
-    rank = [np.flatnonzero(near[i] == x) for i, s in enumerate(shards) for x in s]
-    r = np.sort([int(x[0]) if x.size else near.shape[1] - 1 for x in rank] or [0])
+def _enough_probes(q: np.ndarray, who: np.ndarray, others: np.ndarray, routes: Routes, recall: float, most: int = 256) -> int:
+    """The number of nearest shards in which `recall` of the pairs meet: one of a pair asks in the other's shard."""
+    if not len(who):
+        return 1
+    mine, theirs = routes.nearest(q, most)[who], routes.nearest(others, most)
+    place = lambda near, home: np.where((near == home).any(1), (near == home).argmax(1), near.shape[1] - 1)
+    r = np.sort(np.minimum(place(mine, theirs[:, :1]), place(theirs, mine[:, :1])))
     return int(r[min(len(r) - 1, int(np.ceil(recall * len(r))) - 1)]) + 1
 
 
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of a and b to nine digits, the same for a pair in either order and among any others."""
+    out = [np.round((a[i : i + 65536].astype(np.float64) * b[i : i + 65536]).sum(1), 9) for i in range(0, len(a), 65536)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _first(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each a the k rows of largest s, of equal ones those of smaller b."""
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    keep = np.arange(a.size) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], s[keep]
+
+
+#: What products of unit vectors in single precision may be off by, and more.
+SLACK = np.float32(1e-5)
+
+
+def _compare(x: np.ndarray, where: np.ndarray, k: int, at_once: int = 256, hold: int = 1 << 20):
+    """(a, b, cosine): for the rows `where` of x their k nearest of all, for the other rows those of `where`.
+
+    Of equal cosines the smaller rows stay.
+    """
+    y = np.ascontiguousarray(x[where])
+    m, out, back, held = len(y), [], [], 0
+    least = np.full(m, -np.inf, np.float32)  # what a row must reach to be among the nearest of each indexed one
+    for rows in (where, np.setdiff1d(np.arange(len(x)), where)):
+        own = rows is where
+        for lo in range(0, len(rows), at_once):
+            r = rows[lo : lo + at_once]
+            s = x[r] @ y.T
+            if own:
+                s[np.arange(len(r)), np.arange(lo, lo + len(r))] = -np.inf
+            low = np.full(len(r), -2, np.float32)
+            if m > k + 1:
+                # the k-th of the largest of separate columns is no larger than the k-th of all
+                w = max(k + 1, m // 16)
+                top = s[:, : m // w * w].reshape(len(r), m // w, w).max(1)
+                low = np.maximum(low, np.partition(top, w - k, axis=1)[:, w - k] - SLACK)
+            at = np.flatnonzero(s >= low[:, None])
+            i, j = np.divmod(at, m)
+            a, b, c = _first(r[i], where[j], _cosines(x[r[i]], y[j]), k)
+            if own:
+                first = np.searchsorted(a, r)
+                n = np.searchsorted(a, r, "right") - first
+                least[lo : lo + len(r)] = np.where(n == k, c[np.minimum(first + k, a.size) - 1] if a.size else -2, -2).astype(np.float32) - SLACK
+                back.append((a, b, c))
+                continue
+            out.append((a, b, c))
+            at = np.flatnonzero(s >= least)
+            i, j = np.divmod(at, m)
+            back.append((where[j], r[i], _cosines(x[r[i]], y[j])))
+            held += at.size
+            if held > hold:
+                back, held = [_first(*(np.concatenate(v) for v in zip(*back)), k)], 0
+    if back:
+        out.append(_first(*(np.concatenate(v) for v in zip(*back)), k))
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _search(x: np.ndarray, where: np.ndarray, k: int, degree: int, beam: int):
+    """The same by beam search in a graph of the rows `where`, nearly."""
+    g = Graph(x[where], degree=degree, beam=max(beam, 32) if where.size > 64 else 32)
+    own = np.zeros(len(x), bool)
+    own[where] = True
+    out = []
+    for lo in range(0, len(x), 256):
+        found, _ = g.search(x[lo : lo + 256], beam)
+        i, j = np.nonzero(found >= 0)
+        a, b = lo + i, where[found[i, j]]
+        a, b = a[a != b], b[a != b]
+        c = _cosines(x[a], x[b])
+        out.append(_first(a, b, c, k))
+        new = ~own[a]
+        out.append((b[new], a[new], c[new]))
+    return _first(*(np.concatenate(v) for v in zip(*out)), k) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def _lanes(spark, sizes: list[int], most: int = 4096) -> tuple[int, np.ndarray]:
     """(number of tasks, for each shard a value that a hash partitioning by it sends to a task of its own).
 
@@ -368,31 +446,40 @@ def _lanes(spark, sizes: list[int], most: int = 4096) -> tuple[int, np.ndarray]:
 
 def most_similar(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, shard_size: int = 4096, probes: int = 3,
-    sample: int = 40_000, degree: int = 20, beam: int = 40, recall: float = 0.95, asked: int = 512,
+    sample: int = 40_000, degree: int = 20, beam: int = 40, recall: float = 0.95, asked: int = 512, exact: int | None = None,
 ) -> DataFrame:
     """(key, neighbour, rank, cosine): the k most similar other vectors of every usable vector.
 
     Equal cosines: the smaller key first. Null, empty, zero and non-finite vectors have no neighbours, nor have
     vectors of another length than the most frequent one. Keys must be integers; a repeated key counts once.
     The first centroids are fitted on at most about `sample` vectors taken by hash, the finer ones of overfull shards on 64 of
-    theirs a centroid; every vector is indexed and asked. It is asked in `probes` shards, or in as many more as hold `recall`
-    of the true neighbours of about `asked` vectors taken by hash. No shard holds more than about twice `shard_size`
-    vectors at any number of them. Recall is measured in the tests and the README.
+    theirs a centroid; every vector is indexed and asked. It is asked in `probes` shards, or in as many more as it takes for
+    `recall` of the true neighbours of about `asked` vectors taken by hash to meet them. No shard holds more than about twice
+    `shard_size` vectors at any number of them, unless no centroid can divide them. Shards of more than `exact` indexed vectors
+    (twice `shard_size`) are searched by graphs, the others compared; with 0 all are searched by graphs. Recall is measured in
+    the tests and the README.
     """
     spark = rows.sparkSession
     d = once(rows, key, vector)
     kd = rows.schema[key].dataType.simpleString()
     d = d.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
-    u = materialize(arrow_map(d, _unit_rows, "id long, key string, vec array<float>"), "unit")
-    sizes = u.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    unit = materialize(arrow_map(d, _unit_rows, "id long, key string, vec array<float>"), "unit")
+    sizes = unit.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], f"{key} {kd}, neighbour {kd}, rank int, cosine double")
     dim = sizes[0]["d"]
-    u = u.where(F.size("vec") == dim)
-    ids = u.select("key", "id").mapInArrow(_first_ids(k + 1), "key string, id long")
-    ids = ids.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
-    reps = u.groupBy("key").agg(F.min_by("vec", "id").alias("vec"))
-    reps = materialize(reps, "directions")
+    u = unit.where(F.size("vec") == dim)
+    who = materialize(u.select("key", "id"), "members")
+    ids = who.select("key", "id").mapInArrow(_first_ids(k + 1), "key string, id long")
+    ids = ids.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids")).select(F.col("key").alias("direction"), F.get("ids", F.lit(0)).alias("key"), "ids")
+    # from here on a direction goes by its smallest id; vectors are shuffled only where theirs may have several
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    again = F.broadcast(ids.where(F.size("ids") > 1).select(slot("direction").alias("slot")).distinct())
+    u = u.withColumn("slot", slot("key"))
+    alone = u.join(again, "slot", "left_anti").select(F.col("id").alias("key"), "vec")
+    several = u.join(again, "slot", "left_semi").groupBy("key").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("first"))
+    reps = materialize(alone.unionByName(several.select(F.col("first").alias("key"), "vec")), "directions")
+    discard(unit)
     n = reps.count()
     shards = int(max(1, min(sample // 64, -(-n // shard_size))))
     share = min(1.0, sample / n)
@@ -404,9 +491,9 @@ def most_similar(
         few = F.pmod(F.xxhash64("key", F.lit("asked")), F.lit(1_000_000)) < int(min(1.0, asked / n) * 1_000_000) + 1
         some = reps.where(few)
         if some.limit(1).count():
-            q, shards_of = _nearest(some.select("key", "vec").limit(2 * asked), reps, routes, k)
-            probes = max(probes, _enough_probes(q, shards_of, routes, recall))
+            probes = max(probes, _enough_probes(*_nearest(some.select("key", "vec").limit(2 * asked), reps, k), routes, recall))
     probes = min(probes, len(cent))
+    exact = 2 * shard_size if exact is None else exact
     # vectors too near each other for any centroid are divided by their hash; who asks there asks in all parts
     parts = np.array([max(1, -(-count.get(i, 0) // (4 * shard_size))) for i in range(len(cent))])
     first = np.concatenate([[0], np.cumsum(parts)])
@@ -427,47 +514,31 @@ def most_similar(
             part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             who, own, near, n = (np.repeat(v, n) for v in (who, own, near, n))
             if (n > 1).any():
-                mine = np.array([int(x[:8], 16) for x in b.column("key").to_pylist()])[who] % n
+                mine = (b.column("key").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)[who] % n
                 own &= part == mine
             shard = (first[near] + part).astype(np.int32)
             t = b.take(pa.array(who))
             yield pa.RecordBatch.from_arrays([pa.array(lane[shard]), pa.array(shard), t.column("key"), t.column("vec"), pa.array(own)], names=["lane", "shard", "key", "vec", "own"])
 
-    routed = reps.mapInArrow(route, "lane int, shard int, key string, vec array<float>, own boolean").repartition(tasks, "lane")
+    routed = reps.mapInArrow(route, "lane int, shard int, key long, vec array<float>, own boolean").repartition(tasks, "lane")
 
     def answer(t: pa.Table) -> pa.Table:
         x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float32)
-        keys = np.array(t.column("key").to_pylist(), object)
-        order = np.argsort(keys, kind="stable")  # the same graph on any run
+        keys = t.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")  # the same on any run, and smaller keys first
         x, keys = x[order], keys[order]
-        own = t.column("own").combine_chunks().to_numpy(zero_copy_only=False)[order]
-        where = np.flatnonzero(own)
-        g = Graph(x[where], degree=degree, beam=max(beam, 32) if where.size > 64 else 32)
-        a, b, s = [], [], []
-        for lo in range(0, len(x), 256):
-            hi = min(lo + 256, len(x))
-            found, _ = g.search(x[lo:hi], beam)
-            at = np.where(found >= 0, where[found] if where.size else -1, -1)
-            at[at == np.arange(lo, hi)[:, None]] = -1
-            sim = np.einsum("bd,bcd->bc", x[lo:hi].astype(np.float64), x[at].astype(np.float64))
-            sim[at < 0] = -np.inf
-            # all that equal the k-th stay, as only vec_ids decide between them
-            near = np.round(sim, 9)
-            ok = (near >= -np.sort(-near, axis=1)[:, k - 1 : k]) & (sim > -np.inf) if near.shape[1] >= k else sim > -np.inf
-            a.append(keys[np.repeat(np.arange(lo, hi), ok.sum(1))])
-            b.append(keys[at[ok]])
-            s.append(sim[ok])
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0)
-        return pa.table({"key": pa.array(cat(a), pa.string()), "other": pa.array(cat(b), pa.string()), "sim": pa.array(cat(s), pa.float64())})
-
-    links = routed.groupBy("lane", "shard").applyInArrow(answer, "key string, other string, sim double")
-    # a direction may come from several shards; of what the beams held, nothing is cut before keys decide between equal cosines
-    links = links.groupBy("key", "other").agg(F.max(F.round("sim", 9)).alias("sim"))
-    theirs = links.join(ids.select(F.col("key").alias("other"), "ids"), "other").select("key", "sim", F.explode("ids").alias("id"))
-    own = ids.select("key", F.lit(1.0).alias("sim"), F.explode("ids").alias("id"))
-    best = theirs.unionByName(own).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "id"))), 1, k + 1).alias("l"))
-    each = u.select("key", F.col("id").alias("me")).join(best, "key")
-    each = each.select("me", F.posexplode(F.slice(F.filter("l", lambda s: s["id"] != F.col("me")), 1, k)).alias("rank", "s"))
+        where = np.flatnonzero(t.column("own").combine_chunks().to_numpy(zero_copy_only=False)[order])
+        a, b, s = _compare(x, where, k) if where.size <= exact else _search(x, where, k, degree, beam)
+        return pa.table({"key": pa.array(keys[a], pa.int64()), "other": pa.array(keys[b], pa.int64()), "far": pa.array(-s, pa.float64())})
+
+    links = routed.groupBy("lane", "shard").applyInArrow(answer, "key long, other long, far double")
+    # a pair may come from both shards, with the same cosine; the k nearest ids stand in the k nearest directions, of equal ones those of smaller keys
+    links = links.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "other"))), 1, k).alias("l")).select("key", F.explode("l").alias("s")).select("key", "s.far", "s.other")
+    theirs = links.join(ids.select(F.col("key").alias("other"), "ids"), "other").select("key", "far", F.explode("ids").alias("id"))
+    own = ids.select("key", F.lit(-1.0).alias("far"), F.explode("ids").alias("id"))
+    best = theirs.unionByName(own).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("l"))
+    members = who.select(F.col("key").alias("direction"), F.col("id").alias("me")).join(ids.select("direction", "key"), "direction")
+    each = members.join(best, "key").select("me", F.posexplode(F.slice(F.filter("l", lambda s: s["id"] != F.col("me")), 1, k)).alias("rank", "s"))
     return each.select(F.col("me").cast(kd).alias(key), F.col("s.id").cast(kd).alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.least(F.lit(1.0), -F.col("s.far")).alias("cosine"))
 
 

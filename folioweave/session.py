@@ -83,19 +83,32 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what `materialize` returned as `df`, where nothing reads it any more."""
+    files = [f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()[:1]]
+    for i, (spark, path) in enumerate(_written):
+        if path.rpartition("/")[2] in files:
+            del _written[i]
+            _delete(spark, path)
+            return
+
+
 def release() -> None:
     """Delete what `materialize` wrote in this process."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone; local files can still be removed
-            if path.startswith("file://"):
-                import shutil
-
-                shutil.rmtree(path[7:], ignore_errors=True)
+        _delete(*_written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone; local files can still be removed
+        if path.startswith("file://"):
+            import shutil
+
+            shutil.rmtree(path[7:], ignore_errors=True)
 
 
 atexit.register(release)

@@ -418,3 +418,33 @@ def test_results_beside_the_cases_are_queries(spark):
     for name, key in keys.items():
         got = q[name](spark, path).select(*key).toPandas()
         assert len(got) and not got.duplicated().any(), name
+
+
+def test_neighbours_in_usual_shards_are_exact(spark):
+    """A shard of usual size is compared whole; graphs give nearly the same."""
+    x = np.random.default_rng(8).normal(size=(1500, 64))
+    d = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = {(i, j, k + 1) for i in range(len(u)) for k, j in enumerate(np.argsort(-s[i])[:5])}
+    got = neighbours.most_similar(d).toPandas()
+    assert set(zip(got.vec_id, got.neighbour, got["rank"])) == true
+    graphs = neighbours.most_similar(d, exact=0).toPandas()
+    assert len({(i, j) for i, j, _ in true} & set(zip(graphs.vec_id, graphs.neighbour))) / len(true) > 0.6
+
+
+def test_compared_shards_meet_both_ways():
+    """Asked rows find indexed ones and indexed rows asked ones; of equal cosines the smaller rows stay."""
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.integers(-1, 2, (300, 6)), r.normal(size=(500, 6))])
+    x = np.unique(x[np.abs(x).sum(1) > 0] / np.linalg.norm(x[np.abs(x).sum(1) > 0], axis=1, keepdims=True), axis=0).astype(np.float32)
+    x = x[r.permutation(len(x))]
+    for m in (0, 1, 3, 4, 7, 200):
+        where = np.sort(r.choice(len(x), m, replace=False))
+        s = np.round(x.astype(float) @ x.T.astype(float), 9)
+        np.fill_diagonal(s, -9)
+        s[np.ix_(*[np.setdiff1d(np.arange(len(x)), where)] * 2)] = -9  # two that are only asked do not meet
+        want = {(i, j) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:4] if s[i, j] > -9}
+        a, b, _ = neighbours._compare(x, where, 4, at_once=64, hold=1000)
+        assert set(zip(a.tolist(), b.tolist())) == want
