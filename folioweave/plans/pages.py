@@ -208,7 +208,7 @@ _ASK = "qs AS (SELECT v.vec_id AS query, substr(coalesce(s.text, ''), 1, 60) AS
 SELECT query, parent AS doc, new_score, CAST(row_number() OVER (PARTITION BY query ORDER BY new_score DESC, rank) AS INT) AS new_rank FROM sc QUALIFY new_rank <= 5""")
 def retrieved_parents(spark, d):
     """The whole chain: vector hits and BM25 hits on records, both as parents, merged, scored against the question, cut."""
-    s, v = store(spark, d), vectors(spark, d)
+    s, v = materialize(store(spark, d).select("uid", "text", "parent_id"), "store"), vectors(spark, d)
     q = v.where("vec_id % 20 = 0 and embedding is not null").join(s.select("uid", "text"), F.col("unique_id") == F.col("uid"))
     q = materialize(q.select(F.col("vec_id").alias("query"), F.substring(F.coalesce("text", F.lit("")), 1, 60).alias("question"), F.col("embedding").alias("qvec")), "questions")
     dense = search.dense_top_k(v, q, "vec_id", "embedding", 5).join(v.select(F.col("vec_id").alias("doc"), "unique_id"), "doc").select("query", F.col("unique_id").alias("doc"), "rank")

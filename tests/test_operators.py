@@ -28,6 +28,27 @@ def test_bm25_by_hand(spark):
     assert rows(made.terms, "term", "df") == [("cache", 1), ("here", 1), ("index", 2), ("other", 1), ("words", 1)] and rows(made.postings.where("doc = 1"), "term", "len", "tf") == [("cache", 3, 2), ("index", 3, 1)]
 
 
+def test_bm25_pairs_are_not_shuffled(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} common", "en" if i % 2 else "zh") for i in range(40)], "id long, t string, l string")
+    q = spark.createDataFrame([(None, "w1 common", "en"), ("b", "w2 w4 w4 none", "zh"), ("c", "common", "en")], "qid string, t string, l string")
+    index = search.Postings(d, "id", "t", F.col("l"))
+    t = {(r["lang"], r["term"]): r["df"] for r in index.terms.collect()}
+    words = {r["id"]: r["t"].split() for r in d.collect()}
+    want = []
+    for a, text, lang in q.collect():
+        s = {}
+        for i in (i for i in words if (i % 2 == 1) == (lang == "en")):
+            for w in set(text.split()) & set(words[i]):
+                tf = words[i].count(w)
+                s[i] = s.get(i, 0) + math.log(1 + (20 - t[lang, w] + 0.5) / (t[lang, w] + 0.5)) * tf * 2.5 / (tf + 1.5)  # all of one length
+        want += [(a, i) for i, _ in sorted(s.items(), key=lambda x: (-round(x[1], 6), x[0]))[:4]]
+    for size in (500_000, 2):
+        monkeypatch.setattr(search, "SMALL_QUERIES", size)
+        got = search.bm25(index, q, "qid", "t", 4, lang=F.col("l"))
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r["query"], r["doc"]) for r in got.collect()} == set(want)
+
+
 def test_dense_blocks_and_ties(spark, monkeypatch):
     r = random.Random(0)
     v = [(i, [float(r.randint(0, 3)) for _ in range(4)]) for i in range(60)] + [(98, None), (99, [1.0])]
